@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
 from .sharding import place_in_shards
 
 SHARDS = 40
@@ -14,5 +15,15 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_in_shards(table(spark, sf_dir, "documents"), "doc_id", "text", SHARDS)
 
 
-QUERIES = {"op2_jump_shards": op2_jump_shards}
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {"op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
