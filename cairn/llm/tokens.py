@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 
 #: Pieces kept by one Python worker; the cache is emptied beyond that.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 #: Longer texts are split at white space, so that the list of pieces stays small.
 SEGMENT = 1 << 20
 
@@ -56,10 +56,11 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         found = self.whole.encode(" ".join(pieces), add_special_tokens=False)
-        ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        for piece, part in zip(pieces, np.split(ids, cuts), strict=True):
-            self.known[piece] = part.tobytes()
+        ids, ends = np.array(found.ids, dtype="<u4").tobytes(), (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(pieces)))).tolist()
+        start = 0
+        for piece, end in zip(pieces, ends, strict=True):
+            self.known[piece] = ids[start:end]
+            start = end
 
 
 @cache
