@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -126,24 +127,89 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+_CHUNK = 1 << 19
+_BASE = 0xD6E8FEB86659FD93
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, dtype=np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return up, down
+
+
+def _cut(data: np.ndarray, at: int, hi: int, in_word: np.ndarray) -> int:
+    """The first place from ``at`` that is not inside a word."""
+    while at < hi:
+        outside = np.flatnonzero(~in_word[LOWER[data[at : at + 4096]]])
+        if len(outside):
+            return min(at + int(outside[0]), hi)
+        at += 4096
+    return hi
+
+
 def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cases A-Z and finds the words of each text: (64-bit hash, first byte, end byte) of all words, and the
-    first word of each text (one more than texts). Equal words have equal hashes; the reverse holds but for chance."""
+    first word of each text (one more than texts). Equal words have equal hashes; the reverse holds but for chance.
+    Works through the bytes in parts, so memory beyond the result is bounded but for one long word."""
     lo, hi = int(offsets[0]), int(offsets[-1])
-    raw = LOWER[data[lo:hi]]
-    inside = in_word[raw]
-    edge = np.zeros(len(raw) + 1, dtype=bool)
-    edge[offsets - lo] = True  # a text's end also ends a word
-    begins = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
-    ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    if not len(begins):
-        return np.zeros(0, np.uint64), begins + lo, ends + lo, np.zeros(len(offsets), np.int64)
-    with np.errstate(over="ignore"):
-        at = np.arange(len(raw), dtype=np.int64)
-        place = at - np.repeat(np.concatenate(([0], begins)), np.diff(np.concatenate(([0], begins, [len(raw)]))))
-        longest = int((ends - begins).max())
-        powers = np.cumprod(np.concatenate(([1], np.full(longest, 0xD6E8FEB86659FD93, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
-        value = np.where(inside, _BYTE_VALUES[raw] * powers[np.minimum(place, longest)], np.uint64(0))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        hashes = _mixed((total[ends] - total[begins]) + (ends - begins).astype(np.uint64))
-    return hashes, begins + lo, ends + lo, np.searchsorted(begins, offsets - lo)
+    found = []
+    at = lo
+    while at < hi:
+        end = _cut(data, min(at + _CHUNK, hi), hi, in_word)
+        raw = LOWER[data[at:end]]
+        inside = np.zeros(len(raw) + 2, dtype=bool)
+        inside[1:-1] = in_word[raw]
+        edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
+        new = np.zeros(len(raw) + 1, dtype=bool)
+        new[edges] = True
+        begins = np.flatnonzero(inside[1:-1] & (new[:-1] | ~inside[:-2]))
+        ends = np.flatnonzero(inside[1:-1] & (new[1:] | ~inside[2:])) + 1
+        up, down = _powers(1 << max(20, (len(raw)).bit_length()))
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw] * up[: len(raw)], dtype=np.uint64)))
+            hashes = _mixed((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+        found.append((hashes, begins + at, ends + at))
+        at = end
+    hashes, begins, ends = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return hashes, begins, ends, np.searchsorted(begins, offsets)
+
+
+def slices(offsets: np.ndarray, size: int = 4 << 20):
+    """Ranges of texts of about ``size`` bytes together."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, min(end, n)
+        at = end
+
+
+def runs(batches, keys: list[str], limit_rows: int | None = None):
+    """Tables of the rows of one key each, from Arrow batches sorted by ``keys``. A table of just ``limit_rows`` rows may
+    be followed by more rows of its key."""
+    import pyarrow as pa
+
+    kept = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if kept is None else pa.concat_tables([kept, part])
+        if not part.num_rows:
+            continue
+        starts = run_starts(part, keys)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield part.slice(a, b - a)
+        kept = part.slice(starts[-1])
+        while limit_rows and kept.num_rows > limit_rows:
+            yield kept.slice(0, limit_rows)
+            kept = kept.slice(limit_rows)
+    if kept is not None and kept.num_rows:
+        yield kept
+
+
+def run_starts(part, keys: list[str]) -> np.ndarray:
+    new = np.zeros(part.num_rows, dtype=bool)
+    new[0] = True
+    for k in keys:
+        v = part[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
 from .sharding import place_in_shards
 
@@ -25,5 +26,9 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
