@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .decontamination import find_benchmark
 from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
+from .secrets import find_secrets, shown
 from .sharding import place_in_shards
+from .warc_archive import read_archive, write_archive
 
 SHARDS = 40
 
@@ -39,5 +41,19 @@ def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
+def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "archive").root
+    write_archive(table(spark, sf_dir, "pages"), folder)
+    records = read_archive(spark, folder)
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+def op8_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = find_secrets(docs, Scratch(spark, "secrets"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"), "n_copied", "n_live")
+
+
+QUERIES = {"op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
