@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 from .decontamination import find_benchmark
+from .html_text import extracted
 from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
 from .secrets import find_secrets, shown
@@ -55,5 +56,9 @@ def op8_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"), "n_copied", "n_live")
 
 
-QUERIES = {"op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
+def op10_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
