@@ -12,6 +12,7 @@ from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
 from .secrets import find_secrets, shown
 from .sharding import place_in_shards
+from .toxicity import learn, score
 from .warc_archive import read_archive, write_archive
 
 SHARDS = 40
@@ -60,5 +61,13 @@ def op10_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
+def op9_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    weights, bias = learn(docs, labels.select("doc_id", "toxic"), ~held_out)
+    scored = score(docs, weights, bias)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op9_nb_ngrams": op9_nb_ngrams, "op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
