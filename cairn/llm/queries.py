@@ -10,6 +10,7 @@ from .decontamination import find_benchmark
 from .html_text import extracted
 from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
+from .quality import quality
 from .secrets import find_secrets, shown
 from .sharding import place_in_shards
 from .toxicity import learn, score
@@ -47,7 +48,7 @@ def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "archive").root
     write_archive(table(spark, sf_dir, "pages"), folder)
     records = read_archive(spark, folder)
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,11 @@ def op9_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op9_nb_ngrams": op9_nb_ngrams, "op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
+def op1_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+QUERIES = {"op1_ngram_ratio": op1_ngram_ratio, "op9_nb_ngrams": op9_nb_ngrams, "op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
