@@ -62,29 +62,30 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
         http,
     )
     rows.select("page_id", head.cast("binary").alias("head"), "digest").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/records")
-    # The row of the largest id brings the payload; the join is on the id, so a frequent payload has no partition of its own.
-    own = F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("of"))
-    once = full.select("page_id", "digest", "payload").join(winners.select(F.col("digest").alias("of"), "first_id"), own).dropDuplicates(["page_id", "digest"])
-    once.select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
+    # Rows of one digest have the same bytes: each task sends on one of them, however frequent the payload.
+    once = full.groupBy("digest").agg(F.first("payload").alias("payload"))
+    once.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: page_id, target, record_type, refers_to, payload_digest, payload and record (exact bytes).
+    """One row per record: page_id, target, record_type, refers_to, payload_digest, payload_bytes, payload and record (exact bytes).
 
-    Fields come out of the stored header. A payload that is missing or doesn't have both digests fails the query.
+    Fields come out of the stored header. Each stored payload is read and hashed once, before the join; one that is missing or
+    doesn't have both digests fails the query. If neither payload nor record is asked for, the join moves no payload.
     """
     records, payloads = spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/payloads")
     head = F.decode("head", "UTF-8")
     field = lambda name, value: F.nullif(F.regexp_extract(head, f"\r\n{name}: {value}\r\n", 1), F.lit(""))
-    rows = records.join(payloads, "digest", "left").select(
+    lost = lambda what: F.raise_error(F.concat(F.lit("payload lost or altered: "), what))
+    stored = payloads.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.sha2("payload", 256) == F.col("digest"), base32(F.sha1("payload"))).otherwise(lost(F.col("digest"))).alias("sha1"))
+    told = field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")
+    rows = records.join(stored, "digest", "left").select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         field("WARC-Target-URI", "([^\r]*)").alias("target"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
-        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
-        "head", "payload", "digest",
+        F.when(F.col("sha1") == told, told).otherwise(lost(F.col("digest"))).alias("payload_digest"),
+        "payload_bytes", "payload", "head",
     )
-    sound = (F.sha2("payload", 256) == F.col("digest")) & (base32(F.sha1("payload")) == F.col("payload_digest"))
-    rows = rows.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload lost or altered: "), F.col("digest"))).cast("binary")))
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"").cast("binary"))
-    return rows.select("page_id", "target", "record_type", "refers_to", "payload_digest", "payload", F.concat("head", body, F.lit((CRLF * 2).encode()).cast("binary")).alias("record"))
+    return rows.withColumn("record", F.concat("head", body, F.lit((CRLF * 2).encode()).cast("binary"))).drop("head")
