@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .decontamination import find_benchmark
 from .html_text import extracted
+from .licenses import license_report, templates
 from .near_duplicates import near_duplicate_classes
 from .packing import pack_documents
 from .quality import quality
@@ -76,5 +77,9 @@ def op1_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-QUERIES = {"op1_ngram_ratio": op1_ngram_ratio, "op9_nb_ngrams": op9_nb_ngrams, "op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
+def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents").select("doc_id", "text"), templates(spark))
+
+
+QUERIES = {"op4_license_windows": op4_license_windows, "op1_ngram_ratio": op1_ngram_ratio, "op9_nb_ngrams": op9_nb_ngrams, "op10_min_cut_text": op10_min_cut_text, "op6_content_archive": op6_content_archive, "op8_ownership_secrets": op8_ownership_secrets, "op7_fm_index": op7_fm_index, "op5_lsh_forest": op5_lsh_forest, "op2_jump_shards": op2_jump_shards, "op3_harmonic_packing": op3_harmonic_packing}
 ORACLE: dict[str, str] = {}
