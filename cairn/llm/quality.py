@@ -107,7 +107,10 @@ def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataF
         total.alias("score"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
+    # The last condition always holds. As it isn't deterministic, a filter on ``kept`` stays above the expressions it is made of;
+    # pushed below, it would hold them unfolded, and work out the arrays again for each of their elements.
+    kept = ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE) & (F.monotonically_increasing_id() >= 0)
+    return df.withColumn("base_failed", failed).withColumn("kept", kept)
 
 
 def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:

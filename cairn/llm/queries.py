@@ -54,7 +54,7 @@ def op6_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = find_secrets(docs, Scratch(spark, "secrets"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    found = find_secrets(docs, Scratch(spark, "secrets"), F.col("source"), F.concat_ws("/", "source", "lang"), keep=["doc_id"])
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"), "n_copied", "n_live")
 

@@ -59,15 +59,17 @@ def _scanned(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumn("__opaque", F.filter(_spans(t, OPAQUE, 3, 0), apart)).drop("__text")
 
 
-def find_secrets(docs: DataFrame, scratch: Scratch, owner: Column, repository: Column, text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, scratch: Scratch, owner: Column, repository: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end) ordered by start and kind, and n_copied, n_live.
 
     A null or empty text has no spans. A null owner or repository counts as one of its own. Repeated rows are scanned each, but
     count once for their owner. Columns of ``docs`` named like the four results are replaced; text stays as it is.
+    ``keep`` lists the columns of ``docs`` to return (all of them if null).
     """
     docs = docs.drop("base", "spans", "n_copied", "n_live")
     found = _scanned(docs.withColumns({"__owner": F.coalesce(owner.cast("string"), F.lit("\0")), "__repository": F.coalesce(repository.cast("string"), F.lit("\0"))}), F.col(text_col))
-    found = scratch.keep(found.withColumn("__row", F.monotonically_increasing_id()), "scanned")
+    keep = docs.columns if keep is None else keep
+    found = scratch.keep(found.select(*keep, "__owner", "__repository", "__base", "__opaque", F.monotonically_increasing_id().alias("__row")), "scanned")
     all_of = F.concat("__base", "__opaque")
     some = found.filter(F.size(all_of) > 0)
     values = some.select("__row", "__owner", "__repository", F.explode(all_of).alias("s")).select("__row", "__owner", "__repository", "s", F.xxhash64("s.value").alias("hash"))
@@ -82,7 +84,6 @@ def find_secrets(docs: DataFrame, scratch: Scratch, owner: Column, repository: C
         F.count_if(~F.col("copied")).alias("n_live"),
     )
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    keep = [c for c in docs.columns]
     hit = some.join(own, "__row").select(*keep, bare("__base").alias("base"), "spans", "n_copied", "n_live")
     free = found.filter(F.size(all_of) == 0).select(*keep, bare("__base").alias("base"), bare("__base").alias("spans"), F.lit(0).cast("long").alias("n_copied"), F.lit(0).cast("long").alias("n_live"))
     return hit.unionByName(free)
