@@ -1,7 +1,8 @@
 """Quality rules: base rules on words and lines, then a log-likelihood ratio of hashed n-grams.
 
-Words and pairs of words are hashed to 2^16 buckets. Two multinomials over the buckets are counted, smoothed by one: the raw
-corpus (every document) and the trusted target (documents labelled good). A document's score is the mean over its n-grams of
+Words and pairs of words are hashed to 2^16 buckets. Two multinomials over the buckets are counted: the raw
+corpus (every document) and the trusted target (documents labelled good), each bucket with PRIOR more n-grams in the mean
+proportion, so that a few copies without a label don't tell much. A document's score is the mean over its n-grams of
 log(target / raw); below a fixed threshold it goes. Built-in expressions only; no text is shuffled:
 
 * counting: a partial sum of at most 2^16 buckets leaves each task;
@@ -10,12 +11,15 @@ log(target / raw); below a fixed threshold it goes. Built-in expressions only; n
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
-#: Documents score about 0 at the corpus' mean; good ones vary by 0.1 or so, more where the corpus is small.
-LEAST_SCORE = -0.2
+PRIOR = 50.0
+#: Documents score about 0 at the corpus' mean. Measured on good documents: -0.08 and more of 1,000 rows, -0.04 of 50,000.
+LEAST_SCORE = -0.1
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 #: Up to so many trusted ids are broadcast (16 bytes each); more are joined by a shuffle.
@@ -43,16 +47,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> l
     hashed = pairs.select("good", F.xxhash64("a").alias("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b"))
     grams = hashed.select("good", F.explode(F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b"))))).alias("bucket")).filter("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("target"))
-    raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
+    raw, target = [0] * BUCKETS, [0] * BUCKETS
     for row in counts.collect():  # at most BUCKETS rows
-        raw[row[0]] += row[1]
-        target[row[0]] += row[2]
-    from math import log
-
-    if sum(target) == BUCKETS:
+        raw[row[0]], target[row[0]] = row[1], row[2]
+    if not sum(target):
         return [0.0] * BUCKETS
-    shift = log(sum(raw)) - log(sum(target))
-    return [round(log(t) - log(r) + shift, 9) for t, r in zip(target, raw, strict=True)]
+    share = sum(target) / sum(raw)
+    return [round(log((t + PRIOR * share) / (share * (r + PRIOR))), 9) for t, r in zip(target, raw, strict=True)]
 
 
 def _repeated() -> Column:
