@@ -7,7 +7,7 @@ import uuid
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,13 @@ class Scratch:
             return
 
 
+def settled(column: Column) -> Column:
+    """The column, worked out where it stands. The condition always holds; as it isn't deterministic, the optimizer neither moves a
+    filter below it nor writes the expression in the place of the column. Else an array that a lambda reads might be worked
+    out again for each of its elements."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def salt_count(rows: int, per_group: int) -> int:
     """Sub-groups so that one holds about per_group rows."""
     return max(1, -(-rows // per_group))

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settled
+
 SHINGLE, LONG, WIDTH, STRIDE, BANDS = 5, 8, 4, 2, 4
 CONTAINED = 0.8
 TEMPLATE_KEYS = 1_000_000
@@ -46,9 +48,9 @@ def with_shingles(df: DataFrame, text: Column, name: str = "h") -> DataFrame:
     """Adds the 64-bit hashes of the text's word shingles, in order; fewer than five words: none."""
     own = [c for c in df.columns if c != name]
     # The words are a column of their own, else each shingle would split the text again.
-    df = df.select(*own, F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "").alias("__w"))
+    df = df.select(*own, settled(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")).alias("__w"))
     held = F.transform(F.sequence(F.lit(0), F.size("__w") - SHINGLE), lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(SHINGLE)]))
-    return df.select(*own, F.when(F.size("__w") >= SHINGLE, held).otherwise(F.array().cast("array<bigint>")).alias(name))
+    return df.select(*own, settled(F.when(F.size("__w") >= SHINGLE, held).otherwise(F.array().cast("array<bigint>"))).alias(name))
 
 
 def _windows(h: Column, stride: int) -> list[Column]:

@@ -16,6 +16,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 BUCKETS = 1 << 16
 PRIOR = 50.0
 #: Documents score about 0 at the corpus' mean. Measured on good documents: -0.08 and more of 1,000 rows, -0.04 of 50,000.
@@ -79,15 +81,16 @@ def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataF
     own = docs.columns
     text = F.coalesce(text_col, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    df = docs.select(*own, text.alias("__text"), _words(text).alias("__w"), lines.alias("__lines"))
-    df = df.select(*own, "__text", "__lines", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
+    df = docs.select(*own, text.alias("__text"), settled(_words(text)).alias("__w"), settled(lines).alias("__lines"))
+    df = df.select(*own, "__text", "__lines", settled(F.transform("__w", lambda w: F.xxhash64(w))).alias("__h"))
     some = lambda n, c, kind: F.when(F.size("__h") >= n, c).otherwise(F.array().cast(kind))
     windows = some(3, F.transform(F.sequence(F.lit(0), F.size("__h") - 3), lambda i: F.xxhash64(F.get("__h", i), F.get("__h", i + 1), F.get("__h", i + 2))), "array<bigint>")
-    df = df.select(*own, "__text", "__lines", "__h", windows.alias("t"))
+    df = df.select(*own, "__text", "__lines", "__h", settled(windows).alias("t"))
     ordered = F.sort_array("t")
     dups = F.array_distinct(F.array_compact(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.when(a == b, a))))
-    df = df.select(*own, "__text", "__lines", "__h", "t", F.when(F.size(F.array_distinct("t")) < F.size("t"), dups).otherwise(F.array().cast("array<bigint>")).alias("dups"))
-    df = df.select(*own, "__text", "__lines", "__h", F.when(F.size("dups") > 0, _repeated()).alias("at"))
+    dups = F.when(F.size(F.array_distinct("t")) < F.size("t"), dups).otherwise(F.array().cast("array<bigint>"))
+    df = df.select(*own, "__text", "__lines", "__h", "t", settled(dups).alias("dups"))
+    df = df.select(*own, "__text", "__lines", "__h", settled(F.when(F.size("dups") > 0, _repeated())).alias("at"))
     steps = F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
 
@@ -108,10 +111,7 @@ def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataF
         total.alias("score"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    # The last condition always holds. As it isn't deterministic, a filter on ``kept`` stays above the expressions it is made of;
-    # pushed below, it would hold them unfolded, and work out the arrays again for each of their elements.
-    kept = ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE) & (F.monotonically_increasing_id() >= 0)
-    return df.withColumn("base_failed", failed).withColumn("kept", kept)
+    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
 
 
 def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
