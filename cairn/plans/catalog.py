@@ -1,14 +1,10 @@
-"""Registry of the engine's queries and of the SQL that states the same rows."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analytics, dedup, files, integrity, jobs, parsers, retention, streams  # noqa: F401  they register themselves
+from .registry import ORACLE, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+def FLAGSHIP(spark, sf_dir):
     return QUERIES["prune_plan"](spark, sf_dir)

@@ -1,0 +1 @@
+"""Streaming twins of the job, agent and trust folds."""
