@@ -10,8 +10,13 @@ from .registry import query, table
 REFS = "SELECT DISTINCT l_partkey AS chunk_hash, l_orderkey % 50 AS snapshot_id FROM lineitem"
 
 
+def all_refs(spark, sf_dir, where="true"):
+    """References, some of them more than once; whoever asks only whether there is one needs no more."""
+    return table(spark, sf_dir, "lineitem").filter(where).select(F.col("l_partkey").alias("chunk_hash"), (F.col("l_orderkey") % 50).alias("snapshot_id"))
+
+
 def refs(spark, sf_dir, where="true"):
-    return table(spark, sf_dir, "lineitem").filter(where).select(F.col("l_partkey").alias("chunk_hash"), (F.col("l_orderkey") % 50).alias("snapshot_id")).distinct()
+    return all_refs(spark, sf_dir, where).distinct()
 
 
 def chunks(spark, sf_dir):
@@ -30,7 +35,7 @@ def chunk_refcount(spark, sf_dir):
 
 @query("orphan_chunks", "SELECT p_partkey AS hash, p_size::BIGINT AS stored_size FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)")
 def orphan_chunks(spark, sf_dir):
-    return dedup.orphans(chunks(spark, sf_dir), refs(spark, sf_dir, "l_quantity > 48")).select("hash", "stored_size")
+    return dedup.orphans(chunks(spark, sf_dir), all_refs(spark, sf_dir, "l_quantity > 48")).select("hash", "stored_size")
 
 
 @query("newly_unreferenced", f"SELECT chunk_hash, count(*)::BIGINT AS n FROM ({REFS.replace('FROM lineitem', 'FROM lineitem WHERE l_quantity > 46')}) GROUP BY 1 HAVING count(*) = count_if(snapshot_id < 40)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup as refs_op
 from ..operators import graph, retention
-from .dedup import chunks, refs
+from .dedup import all_refs, chunks
 from .registry import query, table
 
 NOW = 1_706_572_800  # 2024-01-30 00:00:00 UTC
@@ -92,8 +92,8 @@ _REFS = "SELECT DISTINCT l_partkey + 100000000 * (l_partkey % 9 = 0)::INT AS has
   UNION ALL SELECT hash, 'free' FROM freed WHERE hash NOT IN (SELECT p_partkey FROM part) AND hash NOT IN (SELECT hash FROM live)""")
 def prune_plan(spark, sf_dir):
     """Retention, closure, anti-join and references in one plan: what to keep, reclaim and free."""
-    all_refs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("snapshot_id")).distinct().withColumn("timestamp", F.col("snapshot_id"))
-    dropped = retention.with_keep(all_refs, 10, 0, 0).filter("not keep").select("snapshot_id", F.lit(True).alias("dropped"))
+    snapshots = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("snapshot_id")).distinct().withColumn("timestamp", F.col("snapshot_id"))
+    dropped = retention.with_keep(snapshots, 10, 0, 0).filter("not keep").select("snapshot_id", F.lit(True).alias("dropped"))
     hashed = table(spark, sf_dir, "lineitem").filter("l_quantity > 46").select((F.col("l_partkey") + F.when(F.col("l_partkey") % 9 == 0, 100_000_000).otherwise(0)).alias("chunk_hash"), (F.col("l_orderkey") % 50).alias("snapshot_id")).distinct()
     freed = refs_op.newly_unreferenced(hashed.join(dropped, "snapshot_id", "left"), F.coalesce("dropped", F.lit(False)))
     return retention.prune_plan(chunks(spark, sf_dir), live_chunks(spark, sf_dir), freed.select(F.col("chunk_hash").alias("hash")))
@@ -101,4 +101,4 @@ def prune_plan(spark, sf_dir):
 
 @query("unreferenced_after_prune", "SELECT p_partkey AS hash FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 >= 45)")
 def unreferenced_after_prune(spark, sf_dir):
-    return refs_op.orphans(chunks(spark, sf_dir), refs_op.drop_snapshots(refs(spark, sf_dir), list(range(45)))).select("hash")
+    return refs_op.orphans(chunks(spark, sf_dir), refs_op.drop_snapshots(all_refs(spark, sf_dir), list(range(45)))).select("hash")
