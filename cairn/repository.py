@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .functions import crypto
 from .functions.codec import decode_frames, encode_frames
 from .functions.hashing import digest, shard_key
-from .operators import chunking, dedup, integrity, retention
+from .operators import dedup, integrity, retention
 from .sources import blobs, logs
 
 CHUNK = 1 << 20
@@ -115,23 +115,56 @@ class Repository:
             return self.spark.createDataFrame([], "hash string, stored_size long")
         return blobs.files(self.spark, f"file://{self.root}/data", content=False).select(F.substring_index("key", "/", -1).alias("hash"), F.col("size").alias("stored_size"))
 
+    # --- single records ---
+
+    def put_record(self, record: dict, kind: bytes = b"FPRT", version: int = 1, secret: bool = False) -> str:
+        """Stores a record (a machine's fingerprint, say) as one chunk, with a mark and version before its JSON; its digest. Secret ones
+        are sealed by the metadata key."""
+        data = kind + version.to_bytes(4, "little") + json.dumps(record, sort_keys=True).encode()
+        key = self.keys.metadata if secret else self.keys.data
+        one = self.spark.range(1).select(F.lit(data).alias("d")).withColumn("hash", digest(F.col("d")))
+        row = one.select("hash", crypto.seal_chunk(F.col("d"), F.col("hash"), key, EPOCH).alias("sealed")).first()
+        blobs.put_file(f"{self.root}/data/{row.hash[:2]}/{row.hash}", bytes(row.sealed))
+        return row.hash
+
+    def get_record(self, name: str, kind: bytes = b"FPRT", version: int = 1, secret: bool = False) -> dict:
+        """The record, or ValueError if it was altered, or has another mark or version."""
+        with open(f"{self.root}/data/{name[:2]}/{name}", "rb") as f:
+            sealed = f.read()
+        key = self.keys.metadata if secret else self.keys.data
+        plain = crypto.open_chunk(F.lit(sealed), F.lit(name), {EPOCH: key})
+        row = self.spark.range(1).select(plain.alias("d")).select((digest(F.col("d")) == name).alias("sound"), crypto.header(F.col("d"), kind, version).alias("json")).first()
+        if not row.sound or row.json is None:
+            raise ValueError(f"{name} is not such a record")
+        return json.loads(bytes(row.json))
+
+    def describe(self, snapshot_id: str, **details) -> None:
+        """Seals details (tags, description, host, ...) of a snapshot beside it."""
+        logs.SecretStore(self.spark, f"{self.root}/metadata.json", self.keys.metadata).put(snapshot_id, json.dumps(details, sort_keys=True).encode())
+
+    def summaries(self) -> DataFrame:
+        """Snapshots with their details (JSON); null where there are none or they can't be opened."""
+        rows = list(logs.load_store(f"{self.root}/metadata.json").items())
+        sealed = self.spark.createDataFrame(rows, "snapshot_id string, sealed string")
+        details = sealed.select("snapshot_id", crypto.open_text(F.unhex("sealed"), self.keys.metadata).alias("details"))
+        return self.snapshots().join(details, "snapshot_id", "left").orderBy(F.desc("timestamp"), "snapshot_id")
+
     # --- backup, restore, verify, prune ---
 
     def backup(self, source: str, snapshot_id: str, now: int) -> dict:
-        """Takes the regular files below ``source``. Files that the newest snapshot of that source has with the same time and size
+        """Takes the regular files below ``source`` (a folder that all tasks mount). Files that the newest snapshot of that source has with the same time and size
         aren't read; chunks that are stored already aren't written."""
         if not re.fullmatch(r"[A-Za-z0-9_.:-]+", snapshot_id):
             raise ValueError("a snapshot's name has letters, digits and _.:- only")
         if os.path.exists(f"{self.root}/snapshots/{snapshot_id}.json"):
             raise FileExistsError(snapshot_id)
-        found = blobs.files(self.spark, source, content=False, empty=True).withColumnRenamed("key", "path")
+        found = blobs.walk(self.spark, source)
         before = self.snapshots().filter(F.col("source") == source).limit(1).collect()
         old = self.manifest(*[r.snapshot_id for r in before]).drop("snapshot_id")
         tracked = old.select("path", "mtime", "size").distinct()
         reused = old.join(found, ["path", "mtime", "size"], "left_semi").select(*[c.split()[0] for c in MANIFEST.split(", ")])
         read = dedup.changed(found, tracked)
-        data = blobs.files(self.spark, source).withColumnRenamed("key", "path").join(read.select("path"), "path", "left_semi")
-        chunks = chunking.fixed_chunks(data, "data", CHUNK).withColumn("hash", digest(F.col("chunk")))
+        chunks = blobs.read_chunks(read, source, CHUNK).withColumns({"hash": digest(F.col("chunk")), "chunk_len": F.octet_length("chunk").cast("long")})
         manifest = read.join(chunks.select("path", "ord", "hash", "chunk_len"), "path", "left").select("path", "mtime", "size", "ord", "hash", "chunk_len")
 
         new = chunks.select("hash", "chunk").join(self.stored().select("hash"), "hash", "left_anti").groupBy("hash").agg(F.first("chunk").alias("chunk"))

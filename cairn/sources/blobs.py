@@ -9,6 +9,7 @@ from __future__ import annotations
 import errno
 import os
 import re
+import stat
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -42,6 +43,50 @@ def files(spark: SparkSession, folder: str, recursive: bool = True, content: boo
     return found.select(*columns, *([F.col("content").alias("data")] if content else []))
 
 
+def walk(spark: SparkSession, folder: str) -> DataFrame:
+    """path (relative), mtime and size of all regular files below a folder that the tasks mount: hidden ones and those without bytes
+    too, which Spark's readers skip. Links are not followed; what can't be read is left out."""
+    base = local_path(folder).rstrip("/")
+    tops = sorted(os.listdir(base))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(top: str) -> Iterator[str]:
+            if not os.path.isdir(top):
+                yield top
+            elif not os.path.islink(top):
+                for d, _, names in os.walk(top):
+                    yield from (os.path.join(d, n) for n in names)
+
+        for batch in batches:
+            rows = []
+            for top in batch.column(0).to_pylist():
+                for path in found(os.path.join(base, top)):
+                    try:
+                        st = os.lstat(path)
+                    except OSError:
+                        continue
+                    if stat.S_ISREG(st.st_mode):
+                        rows.append((os.path.relpath(path, base), int(st.st_mtime), st.st_size))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], names=["path", "mtime", "size"])
+
+    top = spark.createDataFrame([(t,) for t in tops], "top string")
+    return top.repartition(max(1, min(len(tops), 256))).mapInArrow(of, "path string, mtime long, size long")
+
+
+def read_chunks(paths: DataFrame, folder: str, size: int) -> DataFrame:
+    """path, ord, chunk: the files (path) in parts of ``size`` bytes, as they are read: no file is held whole."""
+    base = local_path(folder).rstrip("/")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(os.path.join(base, path), "rb") as f:
+                    for k, part in enumerate(iter(lambda: f.read(size), b"")):  # noqa: B023
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], names=["path", "ord", "chunk"])
+
+    return paths.select("path").repartition("path").mapInArrow(of, "path string, ord long, chunk binary")
+
+
 def total_bytes(spark: SparkSession, folder: str) -> int:
     return files(spark, folder, content=False).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 

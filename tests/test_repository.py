@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import options
 from cairn.repository import CHUNK, Repository
-from cairn.sources import blobs, capture, logs, remote
+from cairn.sources import blobs, capture, locks, logs, remote
 
 
 @pytest.fixture
@@ -19,18 +20,21 @@ def tree(tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(bytes([65 + i % 26]) * 70_000 + r.randbytes(i * 1000))
     (src / "empty").write_bytes(b"")
+    (src / "dir_1" / ".hidden").write_bytes(b"dot")
+    (src / "_under").write_bytes(b"score")
+    (src / "link").symlink_to(src / "empty")
     (src / "big.bin").write_bytes(r.randbytes(2 * CHUNK + 17))
     return src
 
 
 def contents(folder):
-    return {os.path.relpath(os.path.join(d, f), folder): open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(folder) for f in fs}
+    return {os.path.relpath(os.path.join(d, f), folder): open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(folder) for f in fs if not os.path.islink(os.path.join(d, f))}
 
 
 def test_round_trip_and_increments(spark, tree, tmp_path):
     repo = Repository.create(spark, str(tmp_path / "repo"), "pw")
     first = repo.backup(f"file://{tree}", "a", 1000)
-    assert first["files"] == 14 and first["read"] == 14
+    assert first["files"] == 16 and first["read"] == 16
     n = repo.stored().count()
     (tree / "dir_0" / "new").write_bytes(b"new")
     second = repo.backup(f"file://{tree}", "b", 2000)
@@ -164,3 +168,53 @@ def test_capture(spark):
     row = capture.fingerprint(spark, collectors={"a": lambda: {"x": "1"}, "b": broken, "c": lambda: {"y": "2"}}, skip=frozenset({"c"})).first()
     assert row["values"] == {"x": "1"} and [tuple(w) for w in row.warnings] == [("b", "no such part")]
     assert capture.tool_rows(spark, ["printf", "a b"]).first().txt == "a b"
+
+
+def test_records_and_summaries(spark, tree, tmp_path):
+    repo = Repository.create(spark, str(tmp_path / "repo"), "pw")
+    name = repo.put_record({"hostname": "h", "disks": [1, 2]})
+    hidden = repo.put_record({"shadow": "x"}, kind=b"SHDW", secret=True)
+    assert repo.get_record(name) == {"hostname": "h", "disks": [1, 2]} and repo.get_record(hidden, b"SHDW", secret=True) == {"shadow": "x"}
+    with pytest.raises(ValueError):
+        repo.get_record(hidden, b"SHDW")
+    with pytest.raises(ValueError):
+        repo.get_record(name, version=2)
+    repo.backup(f"file://{tree}", "a", 1)
+    repo.backup(f"file://{tree}", "b", 2)
+    repo.describe("a", tags=["x"], hostname="h")
+    assert [(r.snapshot_id, r.details) for r in repo.summaries().collect()] == [("b", None), ("a", '{"hostname": "h", "tags": ["x"]}')]
+
+
+def test_locks_canaries_quarantine(spark, tmp_path):
+    store = locks.LockedStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a", b"1"), ("b", b"2"), ("c", b"3")], "key string, data binary")
+    store.write_once(rows.filter("key <> 'c'"), {"mode": "compliance", "retain_until": 100})
+    store.write_once(rows.filter("key = 'c'"), None)
+    assert sorted(r.key for r in store.delete(rows, 50).collect()) == ["a", "b"] and os.listdir(tmp_path / "s").count("c") == 0
+    with pytest.raises(PermissionError):
+        store.set_lock(["a"], {"mode": "governance", "retain_until": 10})
+    store.set_lock(["b"], {"mode": "governance", "retain_until": 100, "legal_hold": True})
+    assert [r.key for r in store.delete(rows, 101).collect()] == ["b"]
+    with pytest.raises(NotImplementedError):
+        locks.LockedStore(spark, str(tmp_path / "t"), can_lock=False).write_once(rows, {"mode": "x"})
+    path = locks.deploy_canary(str(tmp_path / "t"))
+    assert locks.altered_canaries(blobs.files(spark, f"file://{tmp_path}/t")).count() == 0
+    open(path, "ab").write(b"!")
+    assert locks.deploy_canary(str(tmp_path / "t")) == path and locks.altered_canaries(blobs.files(spark, f"file://{tmp_path}/t")).count() == 1
+    found = spark.createDataFrame([(locks.CANARY_NAME, "CanaryModified", None, None), ("gone", "HighEntropy", 7.9, 7.5)], "path string, kind string, entropy double, threshold double")
+    assert locks.quarantine(found, str(tmp_path / "t"), str(tmp_path / "q")) == 1 and spark.read.json(f"file://{tmp_path}/q/manifest").count() == 2
+
+
+def test_options(tmp_path):
+    assert options.backup_options(source="/x")["mode"] == "file"
+    for bad in ({"mode": "tape"}, {"mode": "block"}, {"source": "/x", "device": "/dev/a"}, {"source": "/x", "snapshot": "vss"}, {"mode": "block", "device": "/dev/a", "source": "/x"}):
+        with pytest.raises(ValueError):
+            options.backup_options(**bad)
+    assert options.included(["a", "b"], ["b"]) == {"a": True, "b": False}
+    with pytest.raises(ValueError):
+        options.included(["a"], ["z"])
+    s = options.Settings(str(tmp_path / "c.json"))
+    assert s.get("x") is None
+    s.set("x", "1")
+    s.set("a", "2")
+    assert s.all() == {"a": "2", "x": "1"}
