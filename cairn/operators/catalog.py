@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import scratch_dir
+
 OBJECT_TYPES = ["File", "Directory", "BlockDevice", "SystemFingerprint"]
 
 
@@ -29,11 +31,20 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def with_ids(table: DataFrame, rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Gives ``rows`` the ids after the table's largest one, in order. Numbers are dealt by ranges of the order, not in one task."""
-    first = table.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]  # one number
-    indexed = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1 + first))
-    schema = rows.schema.add(id_col, "long")
-    return rows.sparkSession.createDataFrame(indexed, schema)
+    """Gives ``rows`` the ids after the table's largest one, in order.
+
+    Ranges of the order are written with their own numbers; the ranges' counts, one row a range, give each its first id.
+    """
+    spark = rows.sparkSession
+    ranged = rows.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    at = scratch_dir(spark)
+    ranged.write.parquet(at)
+    kept = spark.read.schema(ranged.schema).parquet(at)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    largest = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__max"))
+    starts = kept.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    out = kept.join(F.broadcast(starts), "__p").join(F.broadcast(largest), F.lit(True))
+    return out.select(*rows.columns, (F.col("__max") + F.col("__first") + F.col("__i") + 1).cast("long").alias(id_col))
 
 
 def key_violations(table: DataFrame, key: list[str]) -> DataFrame:
