@@ -59,6 +59,15 @@ class Scratch:
             return
 
 
+#: Ids that may be broadcast: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``ids`` to be joined by a broadcast if it has at most ``rows`` rows (a check that reads no more than that), else as it is."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def settled(column: Column) -> Column:
     """The column, worked out where it stands. The condition always holds; as it isn't deterministic, the optimizer neither moves a
     filter below it nor writes the expression in the place of the column. Else an array that a lambda reads might be worked

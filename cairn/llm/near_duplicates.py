@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, Scratch, mixed, runs, slices, text_bytes, words
+from .common import SPACED, Scratch, mixed, runs, slices, small, text_bytes, words
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -78,7 +78,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, 2 << 20):
             shingles, first = shingle_sets(data, offsets[lo : hi + 1])
             n = np.diff(first)
             full = np.flatnonzero(n)
@@ -283,7 +283,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     meets = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))
     dealt = members.join(blocks, "cluster").select("id", "cluster", member.alias("own"), F.explode(meets).alias("other"))
     dealt = dealt.select("id", "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = docs.join(dealt, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    # Few texts are in a cluster as a rule: then they are picked out where they lie, and only they move.
+    inside = docs.join(small(members.select("id").distinct()), "id", "left_semi")
+    texts = inside.join(dealt, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     links = texts.select("cluster", "i", "j", "id", "text").mapInArrow(_confirmed, _LINK)
     roots = components(links, scratch, "links")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, table
+from cairn.llm.common import Scratch, small, table
 from cairn.llm.decontamination import find_benchmark, remove_hits
 from cairn.llm.near_duplicates import near_duplicate_classes
 from cairn.llm.packing import pack_documents
@@ -33,11 +33,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each near-duplicate class, once. Rows without an id stay."""
-    ids = near_duplicate_classes(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    own = docs.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    scratch = Scratch(spark, "pipeline-near")
+    classes = scratch.keep(near_duplicate_classes(docs).filter("doc_id is not null").select(F.col("doc_id").alias("__id"), "kept"), "classes")
+    # Rows of an id that has one row, and stays, pass by without a shuffle of their text.
+    gone = classes.groupBy("__id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    single = docs.join(small(gone.filter("not kept or n > 1").select("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+    several = docs.join(small(gone.filter("kept and n > 1").select("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))
-    own = own.withColumn("__first", first).filter("__first = 1").select(*COLUMNS)
-    return own.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    once = several.withColumn("__first", first).filter("__first = 1")
+    return single.select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
