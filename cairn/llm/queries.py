@@ -75,7 +75,7 @@ def op9_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     weights, bias = learn(docs, labels.select("doc_id", "toxic"), ~held_out)
     scored = score(docs, weights, bias)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
