@@ -28,7 +28,7 @@ def documents(spark, extra: bool = False):
         return df
     from pyspark.sql import functions as F
 
-    names = ["id", "rep", "kept", "score", "hits", "items", "n_words", "base", "spans", "digest", "key", "a", "b", "h", "bucket", "shard", "rank", "k"]
+    names = ["id", "rep", "kept", "score", "hits", "items", "n_words", "base", "spans", "digest", "key", "a", "b", "h", "bucket", "shard", "rank", "k", "t", "dups", "at", "w", "i", "slot", "length", "start", "toxic", "n_hit", "digest2"]
     return df.withColumns({n: F.lit("clash") for n in names})
 
 
