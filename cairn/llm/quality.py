@@ -16,16 +16,14 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, small
 
 BUCKETS = 1 << 16
 PRIOR = 50.0
 #: Documents score about 0 at the corpus' mean. Measured on good documents: -0.08 and more of 1,000 rows, -0.04 of 50,000.
 LEAST_SCORE = -0.1
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
-#: Up to so many trusted ids are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+SYMBOLS = "[#*$%&|<>]"
 #: Up to so many distinct repeated windows are looked up one by one; more are found by sorting.
 FEW = 32
 
@@ -40,9 +38,7 @@ def _bucket(value: Column) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> list[float]:
     """log(target / raw) of each bucket, from all documents and those whose doc_id is in ``trusted`` (doc_id)."""
-    ids = trusted.filter("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = small(trusted.filter("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
     rows = docs.select("doc_id", F.col(text_col).alias("__text")).join(ids, F.col("doc_id") == F.col("__id"), "left")
     rows = rows.select(F.col("__id").isNotNull().alias("good"), _words(F.coalesce("__text", F.lit(""))).alias("w"))
     pairs = rows.select("good", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
@@ -59,15 +55,15 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> l
 
 
 def _repeated() -> Column:
-    """Places, in order, of the windows (hashes ``t``, by place) that are among ``dups``, the distinct repeated ones."""
-    places = F.sequence(F.lit(0), F.size("t") - 1)
-    few = F.filter(places, lambda i: F.array_contains("dups", F.get("t", i)))
-    by_value = F.array_sort(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    """Places, in order, of the windows (hashes ``__t``, by place) that are among ``__dups``, the distinct repeated ones."""
+    places = F.sequence(F.lit(0), F.size("__t") - 1)
+    few = F.filter(places, lambda i: F.array_contains("__dups", F.get("__t", i)))
+    by_value = F.array_sort(F.transform("__t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     hashes = F.transform(by_value, lambda x: x["h"])
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(hashes, 1, F.size("t") - 1))
-    beside = F.zip_with(before, F.slice(hashes, 2, F.size("t")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(hashes, 1, F.size("__t") - 1))
+    beside = F.zip_with(before, F.slice(hashes, 2, F.size("__t")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     marked = F.zip_with(by_value, beside, lambda v, n: F.when((v["h"] == n["x"]) | (v["h"] == n["y"]), v["i"]))
-    return F.when(F.size("dups") <= FEW, few).otherwise(F.sort_array(F.array_compact(marked)))
+    return F.when(F.size("__dups") <= FEW, few).otherwise(F.sort_array(F.array_compact(marked)))
 
 
 def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataFrame:
@@ -80,18 +76,21 @@ def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataF
     docs = docs.drop(*new)
     own = docs.columns
     text = F.coalesce(text_col, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(*own, text.alias("__text"), settled(_words(text)).alias("__w"), settled(lines).alias("__lines"))
-    df = df.select(*own, "__text", "__lines", settled(F.transform("__w", lambda w: F.xxhash64(w))).alias("__h"))
+    # Long texts go no further than they must: their characters are counted here.
+    word_chars, symbols = F.length(F.array_join("__w", "")).cast("long"), F.regexp_count("__text", F.lit(SYMBOLS)).cast("long")
+    df = df.select(*own, word_chars.alias("word_chars"), symbols.alias("n_symbols"), "__lines", settled(F.transform("__w", lambda w: F.xxhash64(w))).alias("__h"))
+    counted = ["word_chars", "n_symbols", "__lines"]
     some = lambda n, c, kind: F.when(F.size("__h") >= n, c).otherwise(F.array().cast(kind))
     windows = some(3, F.transform(F.sequence(F.lit(0), F.size("__h") - 3), lambda i: F.xxhash64(F.get("__h", i), F.get("__h", i + 1), F.get("__h", i + 2))), "array<bigint>")
-    df = df.select(*own, "__text", "__lines", "__h", settled(windows).alias("t"))
-    ordered = F.sort_array("t")
-    dups = F.array_distinct(F.array_compact(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.when(a == b, a))))
-    dups = F.when(F.size(F.array_distinct("t")) < F.size("t"), dups).otherwise(F.array().cast("array<bigint>"))
-    df = df.select(*own, "__text", "__lines", "__h", "t", settled(dups).alias("dups"))
-    df = df.select(*own, "__text", "__lines", "__h", settled(F.when(F.size("dups") > 0, _repeated())).alias("at"))
-    steps = F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+    df = df.select(*own, *counted, "__h", settled(windows).alias("__t"))
+    ordered = F.sort_array("__t")
+    dups = F.array_distinct(F.array_compact(F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size("__t"), F.lit(1))), lambda a, b: F.when(a == b, a))))
+    dups = F.when(F.size(F.array_distinct("__t")) < F.size("__t"), dups).otherwise(F.array().cast("array<bigint>"))
+    df = df.select(*own, *counted, "__h", "__t", settled(dups).alias("__dups"))
+    df = df.select(*own, *counted, "__h", settled(F.when(F.size("__dups") > 0, _repeated())).alias("__at"))
+    steps = F.zip_with("__at", F.slice("__at", 2, F.size("__at")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
 
     def gram(a: Column, i: Column) -> Column:
@@ -104,10 +103,10 @@ def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataF
     df = df.select(
         *own,
         n.cast("long").alias("n_words"),
-        F.length(F.translate("__text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "word_chars",
+        "n_symbols",
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("at").isNotNull(), F.aggregate(steps, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.when(F.col("__at").isNotNull(), F.aggregate(steps, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("long").alias("n_repeat_words"),
         total.alias("score"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
