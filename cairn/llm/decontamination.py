@@ -25,7 +25,7 @@ from .fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 @dataclass

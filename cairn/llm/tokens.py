@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 
 #: Pieces kept by one Python worker; the cache is emptied beyond that.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 450_000
 #: Longer texts are split at white space, so that the list of pieces stays small.
 SEGMENT = 1 << 20
 
