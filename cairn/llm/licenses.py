@@ -13,14 +13,18 @@ the join shuffles. A text's shingles stay in its task.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, small
 
 SHINGLE, LONG, WIDTH, STRIDE, BANDS = 5, 8, 4, 2, 4
 CONTAINED = 0.8
-TEMPLATE_KEYS = 1_000_000
+#: A random word for each band.
+FLIPS = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(BANDS)]
+TEMPLATE_KEYS = 100_000
 
 # Short notices and openings of common licenses, by SPDX name.
 NOTICES = [
@@ -47,20 +51,22 @@ def templates(spark: SparkSession) -> DataFrame:
 def with_shingles(df: DataFrame, text: Column, name: str = "h") -> DataFrame:
     """Adds the 64-bit hashes of the text's word shingles, in order; fewer than five words: none."""
     own = [c for c in df.columns if c != name]
-    # The words are a column of their own, else each shingle would split the text again.
-    df = df.select(*own, settled(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")).alias("__w"))
+    # Words and their hashes are columns of their own, else each shingle would split the text again.
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    df = df.select(*own, settled(words).alias("__w"))
+    df = df.select(*own, settled(F.transform("__w", lambda w: F.xxhash64(w))).alias("__w"))
     held = F.transform(F.sequence(F.lit(0), F.size("__w") - SHINGLE), lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(SHINGLE)]))
     return df.select(*own, settled(F.when(F.size("__w") >= SHINGLE, held).otherwise(F.array().cast("array<bigint>"))).alias(name))
 
 
 def _windows(h: Column, stride: int) -> list[Column]:
-    """For each band, the MinHash of each window of WIDTH shingles."""
+    """For each band, the MinHash of each window of WIDTH shingles: the least of their hashes as a band's random word flips them."""
     places = F.sequence(F.lit(0), F.size(h) - WIDTH, F.lit(stride))
 
     def band(k: int) -> Column:
-        return F.transform(places, lambda i: F.least(*[F.xxhash64(F.get(h, i + j), F.lit(k)) for j in range(WIDTH)]))
+        return F.transform(places, lambda i: F.least(*[F.get(h, i + j).bitwiseXOR(F.lit(FLIPS[k])) for j in range(WIDTH)]))
 
-    return [band(k) for k in range(1, BANDS + 1)]
+    return [band(k) for k in range(BANDS)]
 
 
 def _wide(h: Column, stride: int) -> Column:
@@ -76,11 +82,9 @@ def find_licenses(docs: DataFrame, known: DataFrame, text_col: str = "text") ->
     known = with_shingles(known.select("template_id", "license", "text"), F.col("text")).withColumn("own", F.array_distinct("h"))
     keys = F.when(F.size("own") < LONG, F.col("own")).otherwise(_wide(F.col("h"), 1))
     index = known.select("template_id", "license", "own", F.explode(F.array_distinct(keys)).alias("key"))
-    if index.limit(TEMPLATE_KEYS + 1).count() <= TEMPLATE_KEYS:
-        index = F.broadcast(index)
     rows = with_shingles(docs.select("doc_id", F.col(text_col).alias("__text")), F.col("__text")).drop("__text")
     rows = rows.select("doc_id", "h", F.explode(F.concat("h", _wide(F.col("h"), STRIDE))).alias("key"))
-    found = rows.join(index, "key").select("doc_id", "template_id", "license", (F.size(F.array_intersect("own", "h")) / F.size("own")).alias("containment"))
+    found = rows.join(small(index, TEMPLATE_KEYS), "key").select("doc_id", "template_id", "license", (F.size(F.array_intersect("own", "h")) / F.size("own")).alias("containment"))
     return found.filter(F.col("containment") >= CONTAINED).groupBy("doc_id", "template_id", "license").agg(F.max("containment").alias("containment"))
 
 
