@@ -1,14 +1,15 @@
 """Near duplicates: an LSH forest over MinHash signatures (Bawa, Condie and Ganesan, 2005), links confirmed exactly.
 
 1. One pass over the texts gives each document its number of distinct shingles, a digest of the set, a sketch (128
-   MinHash values of 4 bits) and 16 tree keys, each a hash of 4 of the full values. Documents of equal digest are one;
+   MinHash values of 4 bits) and tree keys (16 at 85 percent, 22 at 80), each a hash of 4 of the full values. Documents of equal digest are one;
    the least id stands for them.
 2. Forest: for each tree the documents lie in the order of (key, the tree's further values, the rest of the sketch).
    Neighbours with a common prefix of at least the key form a region. Ranges of that order are dealt to tasks, so a large
    region is cut at its own depth rather than gathered. In a region, documents whose sketches agree well enough are
    joined, first along the order, then all of a part of at most REGION rows with each other; rows beyond that, and the
    regions at a range's ends, are joined without looking at sketches. So depth adapts to each region, and no neighbour is
-   capped. A pair of similarity 0.85 shares no key with probability (1 - 0.85^4)^16 < 1e-5.
+   capped. ``bounds`` derives trees and sketch bound from the least similarity s: a pair of s shares no key with
+   probability (1 - s^4)^trees <= MISS_KEYS, and its sketch is under the bound with at most MISS_SKETCH.
 3. The joined documents form candidate clusters. Their texts meet there once, in blocks of bounded size for large clusters,
    and all pairs of full shingle sets are compared. What passes is linked; components of links are the answer.
 """
@@ -16,6 +17,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,9 @@ from .common import SPACED, Scratch, mixed, runs, slices, small, text_bytes, wor
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, VALUES = 16, 4, 128
-#: A pair of similarity 0.85 or more is seldom (about 1e-6) below this estimate.
-LEAST_ESTIMATE = 0.69
+DEPTH, VALUES = 4, 128
+#: How seldom a pair of just the least similarity shares no tree key, and how seldom its sketches agree too little.
+MISS_KEYS, MISS_SKETCH = 1e-5, 4e-6
 REGION = 2048
 #: Shingles of a block of a candidate cluster.
 BLOCK = 400_000
@@ -41,6 +44,20 @@ _X = (mixed(np.arange(1001, VALUES + 1001, dtype=np.uint64)) >> np.uint64(32)).a
 _PLACES = mixed(np.arange(501, 501 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
+@cache
+def bounds(percent: int) -> tuple[int, int]:
+    """(trees, least number of sketch values that agree) for pairs of similarity ``percent`` / 100 and more."""
+    s = percent / 100
+    trees = next((t for t in range(1, VALUES // DEPTH + 1) if (1 - s**DEPTH) ** t <= MISS_KEYS), None)
+    if not trees or percent > 100:
+        raise ValueError(f"percent is {percent}: {VALUES} values make too few keys for it")
+    # 4-bit values of unequal MinHash agree once in 16.
+    p, least, below = s + (1 - s) / 16, 0, 0.0
+    while least < VALUES and (below := below + comb(VALUES, least) * p**least * (1 - p) ** (VALUES - least)) <= MISS_SKETCH:
+        least += 1
+    return trees, least
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit shingles, first of each text): sorted and distinct in a text; fewer words than ``size``: one shingle."""
     h, _, _, first = words(data, offsets, SPACED)
@@ -74,7 +91,7 @@ def _signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("digest2", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
@@ -92,10 +109,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values = _signatures(shingles, starts)
                 small = (values & np.uint32(15)).astype(np.uint8)
                 packed = (small[:, 0::2] << 4) | small[:, 1::2]
-                per = VALUES // TREES
+                per = VALUES // trees
                 with np.errstate(over="ignore"):
-                    tree = np.zeros((len(full), TREES), np.uint64)
-                    for t in range(TREES):
+                    tree = np.zeros((len(full), trees), np.uint64)
+                    for t in range(trees):
                         for j in range(DEPTH):
                             tree[:, t] = mixed(tree[:, t] * np.uint64(0x9E3779B97F4A7C15) + values[:, t * per + j].astype(np.uint64) + np.uint64(t))
                 for i, row, own in zip(full.tolist(), packed, tree.view(np.int64).tolist(), strict=True):
@@ -128,29 +145,25 @@ def spanning(linked) -> list[tuple[int, int]]:
     return out
 
 
-#: Values that agree, of pairs at LEAST_ESTIMATE: 4-bit values of unequal MinHash agree once in 16.
-_AGREE = VALUES * (LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 16)
-
-
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _agree(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     x = a ^ b
-    return ((x & 15) == 0).sum(axis=-1, dtype=np.int16) + ((x >> 4) == 0).sum(axis=-1, dtype=np.int16) >= _AGREE
+    return ((x & 15) == 0).sum(axis=-1, dtype=np.int16) + ((x >> 4) == 0).sum(axis=-1, dtype=np.int16) >= least
 
 
 class _BySketch:
-    def __init__(self, packed: np.ndarray):
-        self.n, self.packed = len(packed), packed
+    def __init__(self, packed: np.ndarray, least: int):
+        self.n, self.packed, self.least = len(packed), packed, least
 
     def __call__(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         theirs = self.packed[others]
-        return np.array([_agree(theirs, self.packed[r]) for r in rows])
+        return np.array([_agree(theirs, self.packed[r], self.least) for r in rows])
 
 
 _FOREST = T.StructType([*_LINK.fields, T.StructField("edge", T.LongType())])
 _FOREST_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int64())])
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of candidates, from rows (key, id, sketch) of one range of the forest order. The range's first and last
     region may go on in other ranges: all their rows are linked to the first one, which is told with the key as ``edge``."""
 
@@ -187,11 +200,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(np.full(n, ids[at]))
                 b.append(ids[at : at + n])
             else:
-                found = np.array(spanning(_BySketch(sketch[at : at + n])), np.int64).reshape(-1, 2) + at
+                found = np.array(spanning(_BySketch(sketch[at : at + n], least)), np.int64).reshape(-1, 2) + at
                 a.append(ids[found[:, 0]])
                 b.append(ids[found[:, 1]])
         twos = starts[:-1][lengths[:-1] == 2]
-        twos = twos[_agree(sketch[twos], sketch[twos + 1]) | (keys[twos] == first_key)]
+        twos = twos[_agree(sketch[twos], sketch[twos + 1], least) | (keys[twos] == first_key)]
         a.append(ids[twos])
         b.append(ids[twos + 1])
         yield told(a, b, [None] * sum(map(len, a)))
@@ -209,11 +222,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _BySets:
-    """Pairs of sets with 100 * intersection >= PERCENT * union."""
+    """Pairs of sets with 100 * intersection >= percent * union."""
 
-    def __init__(self, shingles: np.ndarray, first: np.ndarray):
+    def __init__(self, shingles: np.ndarray, first: np.ndarray, percent: int):
         size = np.diff(first)
-        self.n, self.size = len(size), size
+        self.n, self.size, self.percent = len(size), size, percent
         of = np.repeat(np.arange(len(size)), size)
         order = np.argsort(shingles, kind="stable")
         value, of = shingles[order], of[order]
@@ -234,41 +247,43 @@ class _BySets:
 
     def __call__(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         both = self.common[np.ix_(rows, others)].astype(np.int64)
-        return 100 * both >= PERCENT * (self.size[rows][:, None] + self.size[others][None, :] - both)
+        return 100 * both >= self.percent * (self.size[rows][:, None] + self.size[others][None, :] - both)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for part in runs(batches, ["cluster", "i", "j"]):
         if part.num_rows < 2:
             continue
         data, offsets = text_bytes(part["text"])
         shingles, first = shingle_sets(data, offsets)
         ids = part["id"].to_numpy()
-        found = spanning(_BySets(shingles, first))
+        found = spanning(_BySets(shingles, first, percent))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([int(ids[a]) for a, _ in found], pa.int64()), pa.array([int(ids[b]) for _, b in found], pa.int64())], schema=_LINK_ARROW)
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``. Sets of ``percent`` similarity or more are linked.
 
     A set: distinct shingles of 5 words of the text with A-Z lowered; 1 to 4 words: the sequence as one; no words, or a null
     text: empty, linked with nothing. Rows of one id are one document with several texts. A row with a null id is in no
     class (component_id null) and stays (kept true). Other columns are not read; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    trees, least = bounds(percent)
+    per = VALUES // trees
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = scratch.keep(docs.mapInArrow(_sketched, _SKETCH), "sketches")
+    sketches = scratch.keep(docs.mapInArrow(partial(_sketched, trees=trees), _SKETCH), "sketches")
     some = sketches.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = some.groupBy("digest", "digest2").agg(F.min("id").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
 
     rows = reps.select("id", "sketch", F.posexplode("keys").alias("tree", "key"))
-    rows = rows.withColumn("here", F.substring("sketch", F.col("tree") * (VALUES // TREES // 2) + 1, VALUES // TREES // 2))
+    rows = rows.withColumn("here", F.substring("sketch", F.floor(F.col("tree") * per / 2).cast("int") + 1, -(-per // 2)))
     order = ["tree", "key", "here", "sketch", "id"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    forest = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "id", "sketch").mapInArrow(_forest, _FOREST)
+    forest = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "id", "sketch").mapInArrow(partial(_forest, least=least), _FOREST)
     forest = scratch.keep(forest.distinct(), "forest")
     ends = forest.filter("edge is not null").select("edge", F.col("a").alias("id")).distinct()
     # A region in several ranges: each range has told its first row there.
@@ -286,7 +301,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # Few texts are in a cluster as a rule: then they are picked out where they lie, and only they move.
     inside = docs.join(small(members.select("id").distinct()), "id", "left_semi")
     texts = inside.join(dealt, "id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    links = texts.select("cluster", "i", "j", "id", "text").mapInArrow(_confirmed, _LINK)
+    links = texts.select("cluster", "i", "j", "id", "text").mapInArrow(partial(_confirmed, percent=percent), _LINK)
     roots = components(links, scratch, "links")
 
     named = some.select("id", "digest", "digest2").join(classes, ["digest", "digest2"]).select("id", "rep")

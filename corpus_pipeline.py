@@ -18,6 +18,8 @@ from cairn.llm.quality import quality
 from cairn.llm.queries import vocabulary
 from cairn.llm.secrets import find_secrets, redact
 
+#: Near copies are sets of five-word shingles of similarity 0.8 and more: op5's 85 is the contract of that query alone.
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,7 +36,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each near-duplicate class, once. Rows without an id stay."""
     scratch = Scratch(spark, "pipeline-near")
-    classes = scratch.keep(near_duplicate_classes(docs).filter("doc_id is not null").select(F.col("doc_id").alias("__id"), "kept"), "classes")
+    classes = scratch.keep(near_duplicate_classes(docs, percent=NEAR_PERCENT).filter("doc_id is not null").select(F.col("doc_id").alias("__id"), "kept"), "classes")
     # Rows of an id that has one row, and stays, pass by without a shuffle of their text.
     gone = classes.groupBy("__id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     single = docs.join(small(gone.filter("not kept or n > 1").select("__id")), F.col("doc_id") == F.col("__id"), "left_anti")

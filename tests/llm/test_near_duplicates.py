@@ -129,3 +129,14 @@ def test_sketches_estimate_similarity():
     b = np.concatenate((a[:370], r.integers(0, 1 << 63, 30).astype(np.uint64)))
     values = nd._signatures(np.concatenate((a, b)), np.array([0, 400]))
     assert abs((values[0] == values[1]).mean() - 370 / 430) < 0.12
+
+
+@pytest.mark.parametrize(("percent", "trees"), [(85, 16), (80, 22)])
+def test_bounds_miss_seldom_at_the_least_similarity(percent, trees):
+    got, least = nd.bounds(percent)
+    s = percent / 100
+    assert got == trees and (1 - s**nd.DEPTH) ** trees <= 1e-5
+    agree = np.random.default_rng(5).binomial(nd.VALUES, s + (1 - s) / 16, 1_000_000)
+    assert (agree < least).sum() <= 20
+    with pytest.raises(ValueError):
+        nd.bounds(50)

@@ -63,3 +63,13 @@ def test_native_stages(spark, tmp_path):
     for stage in (cp.keep_good, cp.remove_secrets):
         plan = stage(spark, cases.documents(spark), folder)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_near_copies_of_similarity_080_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id in (1, 255, 709, 944, 582, 875, 643, 770)")
+    assert sorted(r.doc_id for r in cp.keep_one_of_each(spark, docs, "").collect()) == [1, 582, 643, 709]
+    # Sets of 196 shingles; of 17 words changed in a row: 175 / 217 = 0.806, of 18: 174 / 218 = 0.798.
+    words = cases.prose(77, 200)
+    texts = [(k, " ".join([*words[:100], *(f"new{k}x{i}" for i in range(n)), *words[100 + n :]])) for k, n in ((1, 0), (2, 17), (3, 18))]
+    rows = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts], cases.BASE)
+    assert sorted(r.doc_id for r in cp.keep_one_of_each(spark, rows, "").collect()) == [1, 3]
