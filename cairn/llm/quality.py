@@ -1,10 +1,12 @@
 """Quality rules: base rules on words and lines, then a log-likelihood ratio of hashed n-grams.
 
 Words and pairs of words are hashed to 2^16 buckets. Two multinomials over the buckets are counted: the raw
-corpus (every document) and the trusted target (documents labelled good), each bucket with PRIOR more n-grams in the mean
-proportion, so that a few copies without a label don't tell much. A document's score is the mean over its n-grams of
-log(target / raw); below a fixed threshold it goes. Built-in expressions only; no text is shuffled:
+corpus (every distinct text) and the trusted target (those of which a copy is labelled good), each bucket with PRIOR more
+n-grams in the mean proportion, so that a few texts without a label don't tell much. A text counts once, so its verdict does
+not depend on how often it was copied. A document's score is the mean over its n-grams of log(target / raw); below a fixed
+threshold it goes. Built-in expressions only:
 
+* distinct texts: 64-bit hashes are counted; only texts that occur more than once are shuffled, one copy from each task;
 * counting: a partial sum of at most 2^16 buckets leaves each task;
 * scoring: the 2^16 log ratios, a bounded number, are a constant of the second pass over the texts.
 """
@@ -16,7 +18,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, small
+from .common import Scratch, settled, small
 
 BUCKETS = 1 << 16
 PRIOR = 50.0
@@ -37,10 +39,16 @@ def _bucket(value: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> list[float]:
-    """log(target / raw) of each bucket, from all documents and those whose doc_id is in ``trusted`` (doc_id)."""
+    """log(target / raw) of each bucket, from all distinct texts and those of a document whose doc_id is in ``trusted`` (doc_id)."""
     ids = small(trusted.filter("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
     rows = docs.select("doc_id", F.col(text_col).alias("__text")).join(ids, F.col("doc_id") == F.col("__id"), "left")
-    rows = rows.select(F.col("__id").isNotNull().alias("good"), _words(F.coalesce("__text", F.lit(""))).alias("w"))
+    rows = rows.filter("__text <> ''").select(F.col("__id").isNotNull().alias("good"), "__text", F.xxhash64("__text").alias("__hash"))
+    scratch = Scratch(docs.sparkSession, "ratios")
+    copied = rows.groupBy("__hash").agg(F.bool_or("good").alias("__any"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("__hash", "__any")
+    copied = small(scratch.keep(copied, "copied"))
+    once = rows.join(copied, "__hash", "left_anti").select("good", "__text")
+    first = rows.join(copied, "__hash").groupBy("__hash").agg(F.first("__any").alias("good"), F.first("__text").alias("__text")).select("good", "__text")
+    rows = once.unionByName(first).select("good", _words(F.col("__text")).alias("w"))
     pairs = rows.select("good", F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
     hashed = pairs.select("good", F.xxhash64("a").alias("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b"))
     grams = hashed.select("good", F.explode(F.array(_bucket(F.col("a")), F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b"))))).alias("bucket")).filter("bucket is not null")
@@ -48,6 +56,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> l
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for row in counts.collect():  # at most BUCKETS rows
         raw[row[0]], target[row[0]] = row[1], row[2]
+    scratch.drop("copied")
     if not sum(target):
         return [0.0] * BUCKETS
     share = sum(target) / sum(raw)
@@ -116,6 +125,6 @@ def rated(docs: DataFrame, ratios: list[float], text_col: str = "text") -> DataF
 def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``rated`` by the ratios of the documents that ``labels`` (doc_id, quality) call good (1) to all documents.
 
-    Rows without label, or with a null one, are raw corpus only. Without good documents every ratio is 0.
+    Rows without label, or with a null one, are raw corpus only, unless a row of equal text is good. Without good documents every ratio is 0.
     """
     return rated(docs, log_ratios(docs, labels.filter("quality = 1").select("doc_id"), text_col), text_col)

@@ -72,6 +72,23 @@ def test_ratios_match_counts(spark):
         assert got[b] == pytest.approx(want, abs=1e-8)
 
 
+def test_copies_without_label_do_not_change_the_verdict(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = quality.quality(docs, labels).join(labels.filter("quality = 1"), "doc_id", "left_semi").filter("kept")
+    clean = good.select("text").distinct().orderBy("text").limit(1)
+    docs = docs.join(clean, "text", "left_anti").select("doc_id", "text").unionByName(clean.select(F.lit(10**9).alias("doc_id"), "text"))
+    copies = clean.select(F.explode(F.sequence(F.lit(10**9 + 1), F.lit(10**9 + docs.count() // 2))).alias("doc_id"), "text")
+    trusted = labels.filter("quality = 1").select("doc_id")
+    many = docs.unionByName(copies)
+    ratios = quality.log_ratios(docs, trusted)
+    assert quality.log_ratios(many, trusted) == ratios
+    assert quality.rated(copies, ratios).filter("not kept").count() == 0
+    # A label of one copy holds for the text, whichever row it is.
+    one = [quality.log_ratios(many, trusted.union(spark.createDataFrame([(i,)], "doc_id long"))) for i in (10**9, 10**9 + 7)]
+    assert one[0] == one[1] != ratios
+
+
 def test_quality_of_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.quality(cases.empty(spark), labels).count() == 0
