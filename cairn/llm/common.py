@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -75,6 +76,48 @@ def settled(column: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
+def before_each(items: Column, value: Callable[[Column], Column], merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of ``items`` (a settled array) what ``merge`` makes of the values of all elements before it: running sums,
+    running maxima. ``merge`` is associative, ``zero`` its neutral element.
+
+    Arrays grow by copying, so the elements are taken in about sqrt(n) blocks of sqrt(n): each block's total first, then the totals
+    before each block, then each block by itself. An array of n elements costs some n * sqrt(n) copied numbers.
+    """
+    n = F.size(items)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    starts = F.sequence(F.lit(1), n, F.greatest(width, F.lit(1)))
+    blocks = F.transform(starts, lambda i: F.slice(items, i, width))
+    empty = F.slice(F.array(zero), 1, 0)
+
+    def running(values: Column, first: Column, of: Callable[[Column], Column]) -> Column:
+        state = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(values, state, lambda a, x: F.struct(merge(a["at"], of(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: merge(a, value(x))))
+    out = F.flatten(F.zip_with(blocks, running(totals, zero, lambda x: x), lambda b, first: running(b, first, value)))
+    return F.when(n > 0, out).otherwise(empty)
+
+
+#: Code points of a part of a text that is cut in many places.
+PART = 1024
+
+
+def parts_of(text: Column) -> Column:
+    """The text in parts of PART code points, the last one shorter. To be settled; ``cut`` then finds a place without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def cut(parts: str, a: Column, z: Column) -> Column:
+    """What stands from place ``a`` to place ``z`` (code points) of a text in ``parts_of``."""
+    places = F.sequence(F.floor(a / PART).cast("int"), F.floor((z - 1) / PART).cast("int"))
+
+    def piece(i: Column) -> Column:
+        low = F.greatest(a - i * PART, F.lit(0))
+        return F.substring(F.get(parts, i), low + 1, F.least(z - i * PART, F.lit(PART)) - low)
+
+    return F.when(z > a, F.array_join(F.transform(places, piece), "")).otherwise("")
+
+
 def salt_count(rows: int, per_group: int) -> int:
     """Sub-groups so that one holds about per_group rows."""
     return max(1, -(-rows // per_group))

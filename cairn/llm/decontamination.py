@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, slices, text_bytes, words
+from .common import ALNUM, cut, parts_of, settled, slices, text_bytes, words
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -166,9 +166,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
 def remove_hits(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Takes the hit stretches out of the texts and drops the four columns. Other texts stay as they are."""
-    whole = F.col(text_col).cast("binary")
-    k = F.sequence(F.lit(0), F.size("hits").cast("int"), F.lit(2))
+    own = [c for c in found.columns if c not in _NAMES]
+    # Hits are in bytes: a text with hits is cut as a string of one character for each byte.
+    text = F.when(F.size("hits") > 0, F.decode(F.col(text_col).cast("binary"), "ISO-8859-1"))
+    df = found.select(*own, settled(F.col("hits")).alias("__hits"), settled(parts_of(text)).alias("__parts"), F.length(text).alias("__n"))
+    k = F.sequence(F.lit(0), F.size("__hits").cast("int"), F.lit(2))
     # Kept parts lie between the stretches' ends: from hits[k - 1] (or 0) to hits[k] (or the text's end).
-    part = F.transform(k, lambda i: F.struct(F.coalesce(F.get("hits", i - 1), F.lit(0)).alias("a"), F.coalesce(F.get("hits", i), F.octet_length(whole).cast("long")).alias("b")))
-    joined = F.aggregate(part, F.lit("").cast("binary"), lambda out, p: F.concat(out, F.substring(whole, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))
-    return found.withColumn(text_col, F.when(F.size("hits") > 0, joined.cast("string")).otherwise(F.col(text_col))).drop(*_NAMES)
+    a = lambda i: F.coalesce(F.get("__hits", i - 1), F.lit(0)).cast("int")
+    z = lambda i: F.coalesce(F.get("__hits", i).cast("int"), F.col("__n"))
+    kept = F.encode(F.array_join(F.transform(k, lambda i: cut("__parts", a(i), z(i))), ""), "ISO-8859-1").cast("string")
+    out = [F.when(F.col("__parts").isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own]
+    return df.select(*out)

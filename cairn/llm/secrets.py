@@ -5,6 +5,8 @@ mixed characters outside the base spans; alone it says little, so the corpus dec
 counted by distinct repositories and owners. A value that many owners hold is a copied example; one that few owners hold looks
 like a live credential, and only then is an opaque run reported.
 
+Work on a text grows with its length and its matches (``common.before_each``), however many secrets one text holds.
+
 A value may stand in a third of all rows. (value, owner, repository) is made distinct before the shuffle by value, so the
 count of a value reads a row per owner and repository, not per occurrence.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, before_each, cut, parts_of, settled
 
 # The patterns of the base kinds, and the least length of what they must hold.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,34 +31,57 @@ OPAQUE = rf"(?<!{_RUN})(?={_RUN}*[a-z])(?={_RUN}*[A-Z])(?={_RUN}*[0-9]){_RUN}{{2
 MOST_OWNERS, MOST_REPOSITORIES = 2, 4
 
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Beyond any place in a text.
+_FAR = (1 << 31) - 1
+
+
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """gap (characters since the match before), n (characters of the match) and value of the leftmost non-overlapping matches."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = whole if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    sized = F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("n"), v.alias("value")))
+    # One gap more than matches: what follows the last match.
+    found = F.zip_with(F.split(text, pattern, -1), sized, lambda g, m: F.struct(F.length(g).alias("gap"), m["n"].alias("n"), m["value"].alias("value")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.filter(found, lambda m: m["n"].isNotNull())).otherwise(F.array().cast("array<struct<gap:int,n:int,value:string>>"))
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int) -> Column:
-    """start, kind, end, value of the leftmost non-overlapping matches, in code points. The text between matches and the
-    matches themselves add up to the positions."""
-    gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("n"), v.alias("value")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _spans(matches: str, kind: int) -> Column:
+    """start, kind, end, value of ``_matches`` (a settled column), in code points: gaps and matches add up to the places."""
+    before = before_each(F.col(matches), lambda m: m["gap"] + m["n"], lambda a, b: a + b, F.lit(0))
 
-    def step(a: Column, i: Column) -> Column:
-        m = F.get(sizes, i)
-        start = a["at"] + F.length(F.get(gaps, i))
-        end = start + m["n"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+    def span(m: Column, at: Column) -> Column:
+        start = at + m["gap"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["n"]).alias("end"), m["value"].alias("value"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), state, step)["out"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPANS))
+    return F.when(F.size(matches) > 0, F.zip_with(matches, before, span)).otherwise(F.array().cast(_SPANS))
+
+
+def _apart(spans: str, back: str) -> Column:
+    """The opaque ones of ``spans`` (sorted; ``back``: the other way round; both settled columns) that no base span touches.
+
+    A base span that starts no later than an opaque one touches it if it ends later than that starts: the largest end so far tells.
+    Of those that start later the first one tells.
+    """
+    base = lambda s, c, other: F.when(s["kind"] < 3, c).otherwise(F.lit(other))
+    ends = before_each(F.col(spans), lambda s: base(s, s["end"], 0), F.greatest, F.lit(0))
+    starts = F.reverse(before_each(F.col(back), lambda s: base(s, s["start"], _FAR), F.least, F.lit(_FAR)))
+    around = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+    kept = F.zip_with(spans, around, lambda s, x: F.when((s["kind"] == 3) & (x["e"] <= s["start"]) & (x["s"] >= s["end"]), s))
+    return F.array_compact(kept)
 
 
 def _scanned(docs: DataFrame, text: Column) -> DataFrame:
-    docs = docs.withColumn("__text", F.coalesce(text, F.lit("")))
-    t = F.col("__text")
-    assign = F.filter(_spans(t, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= LEAST_ASSIGN)
-    access = F.filter(_spans(t, ACCESS, 1, 0), lambda s: F.length(s["value"]) >= LEAST_ACCESS)
-    docs = docs.withColumn("__base", F.array_sort(F.concat(assign, access, _spans(t, HEX, 2, 0))))
-    apart = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return docs.withColumn("__opaque", F.filter(_spans(t, OPAQUE, 3, 0), apart)).drop("__text")
+    """Adds ``__base`` and ``__opaque``. Every array that a lambda reads is a settled column of a step of its own."""
+    own = docs.columns
+    docs = docs.select(*own, settled(F.coalesce(text, F.lit(""))).alias("__text"))
+    patterns = [(ASSIGN, 2), (ACCESS, 0), (HEX, 0), (OPAQUE, 0)]
+    docs = docs.select(*own, *[settled(_matches(F.col("__text"), p, g)).alias(f"__m{k}") for k, (p, g) in enumerate(patterns)])
+    long = lambda n: lambda s: F.length(s["value"]) >= n
+    spans = [F.filter(_spans(f"__m{k}", k), long(n)) for k, n in enumerate((LEAST_ASSIGN, LEAST_ACCESS, 0, 0))]
+    docs = docs.select(*own, settled(F.array_sort(F.concat(*spans[:3]))).alias("__base"), settled(spans[3]).alias("__opaque"))
+    docs = docs.select(*own, "__base", "__opaque", settled(F.when((F.size("__base") > 0) & (F.size("__opaque") > 0), F.array_sort(F.concat("__base", "__opaque")))).alias("__all"))
+    docs = docs.select(*own, "__base", "__opaque", "__all", settled(F.reverse("__all")).alias("__back"))
+    return docs.withColumn("__opaque", F.when(F.col("__all").isNotNull(), _apart("__all", "__back")).otherwise(F.col("__opaque"))).drop("__all", "__back")
 
 
 def find_secrets(docs: DataFrame, scratch: Scratch, owner: Column, repository: Column, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -96,15 +121,18 @@ def shown(spans: str) -> Column:
 
 
 def redact(found: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Puts ``mark`` in the place of each stretch that spans cover, and drops what find_secrets added."""
-    text = F.col(text_col)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        out = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate("spans", state, step)
-    whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).drop("base", "spans", "n_copied", "n_live")
+    """Puts ``mark`` in the place of each stretch that spans cover, and drops what find_secrets added.
+
+    Texts with spans are cut in parts, so that a place is found without reading all that lies before it.
+    """
+    own = [c for c in found.columns if c not in ("base", "spans", "n_copied", "n_live")]
+    text = F.when(F.size("spans") > 0, F.col(text_col))
+    df = found.select(*own, settled(F.col("spans")).alias("__spans"), settled(parts_of(text)).alias("__parts"), F.length(text).alias("__n"))
+    ends = before_each(F.col("__spans"), lambda s: s["end"], F.greatest, F.lit(0))
+    gaps = F.zip_with("__spans", ends, lambda s, e: F.struct(e.alias("a"), s["start"].alias("z"), s["end"].alias("end")))
+    df = df.select(*own, "__parts", "__n", settled(gaps).alias("__gaps"))
+    between = F.transform(F.filter("__gaps", lambda g: g["a"] <= g["z"]), lambda g: cut("__parts", g["a"], g["z"]))
+    last = F.array_max(F.transform("__gaps", lambda g: g["end"]))
+    whole = F.array_join(F.concat(between, F.array(cut("__parts", last, F.col("__n")))), mark)
+    out = [F.when(F.col("__parts").isNotNull(), whole).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own]
+    return df.select(*out)

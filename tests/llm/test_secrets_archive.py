@@ -1,6 +1,9 @@
 import base64
+import bisect
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +59,38 @@ def test_redaction(spark):
     assert "ñandú €uro 😀 [secret]\" [secret] [secret]" in kept
 
 
+def test_many_secrets_in_one_text(spark):
+    """100,000 base matches and 50,000 opaque runs, some of them touching base spans: far too many for work that grows with their square."""
+    N = 100_000
+    r = random.Random(5)
+    part = lambda i: r.choice([f"token=abc{i:06d}", f"é {i:024x}", f"AKIA{i:020d}"])
+    text = " ".join(x for i in range(N) for x in ([part(i), f"zZ9_{i:024d}"] if i % 4 else [part(i)])[: 2 if i % 2 else 1]) + " 😀 end"
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, text[:2000], "en", "b", 1)], cases.BASE)
+    began = time.time()
+    found = secrets.find_secrets(docs, Scratch(spark, "t"), F.col("source"), F.col("lang"))
+    out = {x.doc_id: x for x in found.collect()}
+    safe = {x.doc_id: x.text for x in secrets.redact(found).collect()}
+    assert time.time() - began < 120
+    for i, t in ((1, text), (2, text[:2000])):
+        own = base(t)
+        assert [tuple(s) for s in out[i].base] == own
+        covered = [(m.start(), 3, m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", t) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+        starts = [s for s, _, _ in own]
+        apart = []
+        for s, k, e in covered:
+            at = bisect.bisect_right(starts, s)
+            if not any(b < e and s < f for b, _, f in own[max(at - 3, 0) : at + 2]):
+                apart.append((s, k, e))
+        assert [tuple(s) for s in out[i].spans] == sorted(own + apart)
+        whole, at = [], 0
+        for s, _, e in sorted(own + apart):
+            if s >= at:
+                whole.append(t[at:s])
+            at = max(at, e)
+        assert safe[i] == "[secret]".join([*whole, t[at:]])
+    assert len(out[1].base) > 90_000 and len(out[1].spans) > 120_000
+
+
 def test_secrets_empty_and_native(spark):
     out = secrets.find_secrets(cases.empty(spark), Scratch(spark, "t"), F.col("source"), F.col("lang"))
     assert out.count() == 0
