@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import licenses, quality
+from cairn.llm.queries import op1_ngram_ratio
 
 from . import cases
 
@@ -47,23 +48,49 @@ def test_ratio_rejects_what_differs_from_the_target_and_keeps_the_rest(spark):
     assert out.filter("quality = 0 and kept").count() <= 0.1 * out.filter("quality = 0").count()
 
 
-def test_ratios_match_counts(spark):
+def hashed(*values):
     xxhash = pytest.importorskip("xxhash")
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (None, "a")], "doc_id long, text string")
-    got = quality.log_ratios(docs, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long"))
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) * (seed >= 1 << 63)
+
+
+def grams(text):
+    w = W.findall(text or "")
+    return [hashed(x) for x in w] + [hashed(hashed(x), hashed(y)) for x, y in zip(w, w[1:])]
+
+
+def test_query_matches_brute_force(spark, sf):
+    """Scores and verdicts of the registered query over whole tables, worked out anew from distinct texts."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 1}
+    trusted = {}
+    for i, t in docs:
+        trusted[t] = trusted.get(t, False) or i in good
     raw, target = collections.Counter(), collections.Counter()
+    for t, is_good in trusted.items():
+        for g in grams(t):
+            raw[g % quality.BUCKETS] += 1
+            target[g % quality.BUCKETS] += is_good
+    share = sum(target.values()) / sum(raw.values())
+    ratio = lambda b: math.log((target[b] + quality.PRIOR * share) / (share * (raw[b] + quality.PRIOR)))
+    out = {r.doc_id: r for r in op1_ngram_ratio(spark, sf).collect()}
+    assert len(out) == len(docs)
+    for i, t in docs:
+        g = grams(t)
+        score = sum(ratio(x % quality.BUCKETS) for x in g) / len(g) if g else 0.0
+        assert out[i].score == pytest.approx(score, abs=1e-7)
+        assert out[i].kept == (not base_rules(t)[5] and score >= quality.LEAST_SCORE)
 
-    def h(*values):
-        seed = 42
-        for v in values:
-            data = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True)
-            seed = xxhash.xxh64_intdigest(data, seed)
-        return seed - (1 << 64) * (seed >= 1 << 63)
 
+def test_ratios_match_counts(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (None, "a")], "doc_id long, text string")
+    got = quality.log_ratios(docs, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long"))
+    raw, target = collections.Counter(), collections.Counter()
     for i, t in [(1, "a b a"), (2, "b c"), (4, "a")]:
-        w = t.split()
-        grams = [h(x) for x in w] + [h(h(x), h(y)) for x, y in zip(w, w[1:])]
-        for g in grams:
+        for g in grams(t):
             raw[g % quality.BUCKETS] += 1
             target[g % quality.BUCKETS] += i == 1
     share = sum(target.values()) / sum(raw.values())
