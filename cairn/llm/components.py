@@ -1,6 +1,6 @@
 """Connected components of links, by alternating large-star and small-star (Kiveris et al., 2014).
 
-Only frames of links move; the driver sees two numbers a round. A star's centre may hold a third of all links: minima are
+Only frames of links move; the driver sees one truth value a round. A star's centre may hold a third of all links: minima are
 pre-aggregated, and the join back can be split by adaptive execution.
 """
 
@@ -18,20 +18,26 @@ def _star(links: DataFrame) -> DataFrame:
     return links.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 
+def _is_star(links: DataFrame) -> bool:
+    """Whether each node hangs on one root, and no root on another."""
+    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, root) for each node of ``links`` (a, b: long) that is not its own root; root is the component's least node.
 
     Links may repeat, point either way or from a node to itself; those with a null are void. No links: no rows.
     """
-    now = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before, k = scratch.keep(now, f"{name}-0"), None, 0
+    now = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now, k = scratch.keep(now, f"{name}-0"), 0
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _star(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now, before, k = scratch.keep(small.filter(F.col("u") != F.col("v")).distinct(), f"{name}-{k + 1}"), mark, k + 1
+        now, k = scratch.keep(small.filter(F.col("u") != F.col("v")).distinct(), f"{name}-{k + 1}"), k + 1
         scratch.drop(f"{name}-{k - 1}")
+        if _is_star(now):
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -78,10 +78,27 @@ def test_groups_of_near_copies(spark):
     check(spark, rows_of_groups())
 
 
-def test_small_regions_and_blocks_give_the_same(spark, monkeypatch):
-    """Regions beyond the limit are joined whole; clusters beyond a block meet block by block."""
-    monkeypatch.setattr(nd, "REGION", 3)
-    check(spark, rows_of_groups(4), block=800)
+def test_small_pieces_and_blocks_give_the_same(spark):
+    """Regions beyond a piece are joined whole; clusters beyond a block meet by hubs and pairs of blocks."""
+    check(spark, rows_of_groups(4), block=800, piece=3)
+
+
+def test_large_clusters_without_a_common_neighbour(spark, monkeypatch):
+    """A chain of near copies, each linked to the next ones alone: hubs don't join it, pairs of blocks do."""
+    monkeypatch.setattr(nd, "HUBS", 1)
+    words_ = cases.prose(55, 1200)
+    rows = [(k, " ".join(words_[9 * k : 9 * k + 160])) for k in range(100)]
+    rows += [(500 + k, edited(cases.prose(66, 160), random.Random(k), 2)) for k in range(60)]
+    check(spark, rows, block=4000)
+
+
+def test_regions_follow_density():
+    labels = np.array([[0, 1, 1, 1, 1]] * 3 + [[0, 1, 2, 1, 1], [0, 1, 2, 1, 2]] + [[0, 2, i, 1, 1] for i in range(4)] + [[0, 3, 3, 3, 3]] * 6, np.uint16)
+    shared = np.maximum(nd.common_prefix(labels) - 1, 0)
+    assert shared.tolist() == [0, 4, 4, 1, 3, 0, 1, 1, 1, 0, 4, 4, 4, 4, 4]
+    assert nd.regions(shared, 16).tolist() == [0, 5, 9, 15]  # few share the first value: no deeper
+    assert nd.regions(shared, 4).tolist() == [0, 3, 5, 9, 15]  # five share it: two values; equal labels stay together at any number
+    assert nd.regions(shared, 1).tolist() == [0, 3, 4, 5, 6, 7, 8, 9, 15]
 
 
 def test_driver_tables(spark, sf):
