@@ -164,3 +164,31 @@ def test_license_report_rows(spark):
     assert licenses.find_licenses(docs, licenses.templates(spark).limit(0)).count() == 0
     twice = docs.filter("doc_id = 2").withColumn("text", F.lit("Released under the MIT License."))
     assert [r.licenses for r in licenses.license_report(twice, licenses.templates(spark)).collect()] == ["MIT", "MIT"]
+
+
+def test_whole_license_texts_are_found_by_either_join(spark):
+    """Long templates by MinHash windows, with a word changed now and then; keys beyond the broadcast bound are shuffled."""
+    full = [(i, name, text) for i, (name, text) in enumerate(licenses.NOTICES) if len(text) > 600]
+    assert len(full) >= 3
+    rows = []
+    for i, _, text in full:
+        w = text.split()
+        changed = [x if k % 97 else "other" for k, x in enumerate(w)]
+        rows += [(10 * i, " ".join(cases.prose(i, 300) + w + cases.prose(i + 1, 300))), (10 * i + 1, " ".join(changed)), (10 * i + 2, " ".join(w[: len(w) // 2]))]
+    rows += [(None, full[0][2]), (999, None), (999, full[1][2]), (999, full[1][2])]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), licenses.templates(spark)
+    want = {}
+    for d, t in rows:
+        mine = set(zip(*[words_of(t)[j:] for j in range(5)]))
+        for i, (name, text) in enumerate(licenses.NOTICES):
+            theirs = set(zip(*[words_of(text)[j:] for j in range(5)]))
+            if theirs and len(mine & theirs) >= licenses.CONTAINED * len(theirs):
+                want[d, i] = max(want.get((d, i), 0), len(mine & theirs) / len(theirs))
+    for keys in (licenses.TEMPLATE_KEYS, 0):
+        got = {(r.doc_id, r.template_id): r.containment for r in licenses.find_licenses(docs, known, broadcast_keys=keys).collect()}
+        assert got == pytest.approx(want)
+    assert all((10 * i, i) in want and (10 * i + 1, i) in want and (10 * i + 2, i) not in want for i, _, _ in full)
+
+
+def words_of(text):
+    return re.findall("[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", (text or "").lower())
