@@ -5,27 +5,32 @@ other word (and a document's end) is a separator, and stretches too short for an
 match there. The shard's FM-index finds every phrase by backward search, locates the occurrences from sampled suffix
 positions, and the hit words are merged into spans. Documents never leave their task, so there is no shuffle.
 
-The benchmark is the query set. It goes to the tasks in blocks of at most BLOCK_BYTES bytes of text; a larger benchmark
-takes one more pass over a task's documents for each block, with what earlier blocks hit carried along.
+The benchmark is the query set. It goes to the tasks in blocks of at most BLOCK_BYTES bytes of text, one of which the driver holds at
+a time; a larger benchmark takes one more pass over a task's documents for each block, with what earlier blocks hit carried
+along, and after every CHAIN passes through a table in the shared folder, so that a task never holds more blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, cut, parts_of, settled, slices, text_bytes, words
+from .common import ALNUM, Scratch, cut, parts_of, settled, slices, text_bytes, words
 from .fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
+#: Blocks that one stage works through.
+CHAIN = 4
 
 
 @dataclass
@@ -43,16 +48,18 @@ class Phrases:
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         h, _, _, first = words(data, offsets, ALNUM)
         vocabulary, symbol = np.unique(h, return_inverse=True)
-        found: dict[tuple, set[int]] = {}
-        for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            own = (symbol[a:b] + 1).tolist()
-            for k in range(max(1, len(own) - window + 1)) if own else ():
-                found.setdefault(tuple(own[k : k + window]), set()).add(i)
-        symbols = np.zeros((len(found), window), np.int64)
-        for k, w in enumerate(found):
-            symbols[k, window - len(w) :] = w
-        pairs = [(k, i) for k, own in enumerate(found.values()) for i in sorted(own)]
-        return cls(vocabulary, symbols, np.array([len(w) for w in found], np.int64), np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+        n = np.diff(first)
+        per = np.where(n > 0, np.maximum(n - window + 1, 1), 0)  # windows of each item
+        of = np.repeat(np.arange(len(n)), per)
+        start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+        length = np.minimum(n[of], window)
+        rows = np.zeros((len(of), window), np.int64)
+        for j in range(window):  # right-aligned: column window - 1 is the last word
+            at = length - window + j
+            rows[:, j] = np.where(at >= 0, symbol[np.minimum(start + np.maximum(at, 0), max(len(h) - 1, 0))] + 1, 0) if len(h) else 0
+        symbols, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        pairs = np.unique(np.stack((which.ravel(), np.asarray(ids, np.int64)[of])), axis=1) if len(rows) else np.zeros((2, 0), np.int64)
+        return cls(vocabulary, symbols, (symbols > 0).sum(axis=1).astype(np.int64), pairs[0], pairs[1])
 
 
 def shard_hits(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,10 +109,17 @@ _NAMES = ["n_words", "n_hit", "hits", "items"]
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType()))]
 
 
-def _marked(text_at: int, phrases: Phrases, again: bool):
+@lru_cache(maxsize=1)
+def _phrases(block: bytes, window: int) -> Phrases:
+    held = pa.ipc.open_stream(block).read_all()
+    return Phrases.of(held["id"].to_pylist(), held["text"].to_pylist(), window)
+
+
+def _marked(text_at: int, block: Broadcast, window: int, again: bool):
     """Adds n_words, n_hit, hits and items to the rows; ``again``: to what an earlier block of phrases has marked."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = _phrases(block.value, window)
         for batch in batches:
             data, offsets = text_bytes(batch.column(text_at))
             own = batch.columns[: -len(_NAMES)] if again else batch.columns
@@ -136,17 +150,28 @@ def _marked(text_at: int, phrases: Phrases, again: bool):
     return of
 
 
-def blocks_of_phrases(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The benchmark's phrases in blocks of at most about ``block_bytes`` of text. Items without id or text have none."""
-    out, ids, texts, size = [], [], [], 0
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """The benchmark's items (id, text) in blocks of at most about ``block_bytes`` of text, each sent to the executors as it is full.
+    The driver holds one block at a time; phrases are made of it in the workers. Items without id or text have none."""
+    context = benchmark.sparkSession.sparkContext
+
+    def sent(ids: list[int], texts: list[str]) -> Broadcast:
+        held = pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held.schema) as writer:
+            writer.write_table(held)
+        return context.broadcast(out.getvalue().to_pybytes())
+
+    ids, texts, size, some = [], [], 0, False
     for row in benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += 4 * len(row[1])
         if size > block_bytes:
-            out.append(Phrases.of(ids, texts, window))
-            ids, texts, size = [], [], 0
-    return [*out, Phrases.of(ids, texts, window)] if ids or not out else out
+            yield sent(ids, texts)
+            ids, texts, size, some = [], [], 0, True
+    if ids or not some:
+        yield sent(ids, texts)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -159,8 +184,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     docs = docs.drop(*_NAMES)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *_FOUND])
-    for k, phrases in enumerate(blocks_of_phrases(benchmark, window, block_bytes)):
-        docs = docs.mapInArrow(_marked(at, phrases, k > 0), schema)
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    for k, block in enumerate(benchmark_blocks(benchmark, block_bytes)):
+        if k and k % CHAIN == 0:
+            docs = scratch.keep(docs, f"marked-{k}")
+        docs = docs.mapInArrow(_marked(at, block, window, k > 0), schema)
     return docs
 
 
