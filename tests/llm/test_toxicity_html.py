@@ -1,4 +1,6 @@
+import collections
 import html
+import math
 import random
 import re
 
@@ -52,6 +54,71 @@ def test_without_both_classes(spark):
         assert toxicity.score(docs, weights, bias).select("score").distinct().count() == 1
 
 
+def naive_windows(text):
+    """For each window the counts of the n-grams of its distinct words."""
+    w = re.findall("[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = max(round(len(w) / toxicity.WINDOW), 1)
+    out = [collections.Counter() for _ in range(n)]
+    for k in range(n):
+        for x in {v for i, v in enumerate(w) if i * n // len(w) == k}:
+            out[k].update(f" {x} "[i : i + m] for m in toxicity.ORDERS for i in range(len(x) + 3 - m))
+    return out
+
+
+def bucket_of(gram):
+    codes = np.array([ord(c) for c in gram], np.uint64)
+    values = toxicity.mixed(codes + np.uint64(1))
+    with np.errstate(over="ignore"):
+        total = np.uint64(len(gram)) + (values * toxicity._PLACES[: len(gram)]).sum(dtype=np.uint64)
+    return int(toxicity.mixed(np.array([total]))[0] >> np.uint64(64 - toxicity.BITS))
+
+
+def test_fit_and_score_match_a_naive_model(spark):
+    """Counts, ratios, loss and scores by dictionaries of n-grams; plain gradient descent finds nothing better than ``fit``."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["ab", "cad", "dabe", "eco"] + ["zog"] * (i % 3 == 0)) for _ in range(r.randint(1, 12))) for i in range(24)] + ["ab cad " * 300]
+    toxic = np.array([int(i % 3 == 0) for i in range(25)])
+    weights, bias = toxicity.fit(pa.array(texts), toxic)
+    rows = [(w, y) for t, y in zip(texts, toxic) for w in naive_windows(t)]
+    names = sorted({g for w, _ in rows for g in w})
+    at = {g: bucket_of(g) for g in names}
+    assert len(set(at.values())) == len(names)
+    p, q = (collections.Counter({g: toxicity.SMOOTH for g in names}) for _ in range(2))
+    for w, y in rows:
+        (p if y else q).update(w)
+    rest = ((1 << toxicity.BITS) - len(names)) * toxicity.SMOOTH
+    ratio = {g: math.log((p[g] / (p.total() + rest)) / (q[g] / (q.total() + rest))) for g in names}
+    x = np.array([[w[g] * ratio[g] for g in names] for w, _ in rows])
+    y = np.array([y for _, y in rows], float)
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.logaddexp(0, np.where(y > 0, -z, z)).sum() + toxicity.L2 / 2 * (w**2).sum()
+
+    mine = loss(np.array([weights[at[g]] / ratio[g] for g in names]), bias)
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(4000):
+        miss = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.002 * (x.T @ miss + toxicity.L2 * w), b - 0.002 * miss.sum()
+    assert mine <= loss(w, b) * 1.01
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "ZOG zog!"])], "doc_id long, text string")
+    for row in toxicity.score(docs, weights.astype("<f4"), bias).collect():
+        z = max(sum(n * float(np.float32(weights[bucket_of(g)])) for g, n in w.items()) for w in naive_windows(row.text)) + bias
+        assert row.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_long_texts_give_a_bounded_share(spark):
+    text = " ".join(f"w{i}" for i in range(20_000)) + " " + "x" * 10_000
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, "one Two", None]), pa.array([1, 0, 0])], names=["doc_id", "text", "toxic"])
+    (out,) = toxicity._bounded(iter([batch]), 12)
+    kept = out.column(1).to_pylist()
+    assert len(kept[0].split()) in range(2380, 2420) and kept[0].startswith("w0 ") and kept[0].endswith("x" * 64) and kept[1:] == ["one Two", ""]
+
+
 def test_grams_are_those_of_words():
     text = " ab cde "
     bucket, of = toxicity.grams(np.frombuffer(text.encode("utf-32-le"), np.uint32))
