@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import scratch_dir
+from ..shared import scratch_dir
 
 OBJECT_TYPES = ["File", "Directory", "BlockDevice", "SystemFingerprint"]
 

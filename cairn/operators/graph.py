@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names, or in a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/cairn"
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-
-    def close() -> None:
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            return
-
-    atexit.register(close)
-    return path
+from ..shared import scratch_dir
 
 
 def reachable(roots: DataFrame, edges: DataFrame, most_levels: int = 10_000) -> DataFrame:

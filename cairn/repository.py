@@ -5,6 +5,7 @@
     history.jsonl         signed log
     data/ab/abcd...       sealed chunks, by digest
     manifests/<id>/       one row per chunk (and per file without chunks)
+    staging/<id>/         tables of a backup that is under way
     snapshots/<id>.json   written last: a snapshot without it doesn't exist, and its chunks are garbage
 
 The folder lies on a file system that the driver and all tasks mount.
@@ -28,7 +29,8 @@ from .sources import blobs, logs
 
 CHUNK = 1 << 20
 EPOCH = 1
-MANIFEST = "path string, mtime long, size long, ord long, hash string, chunk_len long"
+MANIFEST = "path string, mtime long, size long, mode long, uid long, gid long, ord long, hash string, chunk_len long"
+FILE = ["path", "mtime", "size", "mode", "uid", "gid"]
 POLICY = {"enabled": False, "mode": "governance", "days": 0, "keep_last": 5, "keep_days": 30}
 
 
@@ -97,11 +99,9 @@ class Repository:
     def manifest(self, *snapshot_ids: str) -> DataFrame:
         if not snapshot_ids:
             return self.spark.createDataFrame([], MANIFEST + ", snapshot_id string")
-        frames = [self.spark.read.schema(MANIFEST).parquet(f"file://{self.root}/manifests/{i}").withColumn("snapshot_id", F.lit(i)) for i in snapshot_ids]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        found = self.spark.read.schema(MANIFEST).parquet(*[f"file://{self.root}/manifests/{i}" for i in snapshot_ids])
+        folder = F.url_decode(F.regexp_extract("_metadata.file_path", r"/manifests/([^/]+)/[^/]*$", 1))
+        return found.withColumn("snapshot_id", folder)
 
     def _ids(self) -> list[str]:
         return [r.snapshot_id for r in self.snapshots().collect()]
@@ -158,19 +158,33 @@ class Repository:
             raise ValueError("a snapshot's name has letters, digits and _.:- only")
         if os.path.exists(f"{self.root}/snapshots/{snapshot_id}.json"):
             raise FileExistsError(snapshot_id)
-        found = blobs.walk(self.spark, source)
+        staging = f"{self.root}/staging/{snapshot_id}"
+        try:
+            return self._staged_backup(source, snapshot_id, now, f"file://{staging}")
+        finally:
+            shutil.rmtree(staging, ignore_errors=True)
+
+    def _staged_backup(self, source: str, snapshot_id: str, now: int, staging: str) -> dict:
+        """The folder is walked once and each file read once, into tables of this backup (chunks sealed already). Blobs and manifest both
+        come from these, so a file that changes meanwhile can't leave a manifest with chunks that were never stored."""
+
+        def staged(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{staging}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
+        found = staged(blobs.walk(self.spark, source), "files")
         before = self.snapshots().filter(F.col("source") == source).limit(1).collect()
         old = self.manifest(*[r.snapshot_id for r in before]).drop("snapshot_id")
-        tracked = old.select("path", "mtime", "size").distinct()
-        reused = old.join(found, ["path", "mtime", "size"], "left_semi").select(*[c.split()[0] for c in MANIFEST.split(", ")])
-        read = dedup.changed(found, tracked)
+        columns = [c.split()[0] for c in MANIFEST.split(", ")]
+        reused = found.join(old.select("path", "mtime", "size", "ord", "hash", "chunk_len"), ["path", "mtime", "size"]).select(*columns)
+        read = staged(dedup.changed(found, old.select("path", "mtime", "size").distinct()), "read")
         chunks = blobs.read_chunks(read, source, CHUNK).withColumns({"hash": digest(F.col("chunk")), "chunk_len": F.octet_length("chunk").cast("long")})
-        manifest = read.join(chunks.select("path", "ord", "hash", "chunk_len"), "path", "left").select("path", "mtime", "size", "ord", "hash", "chunk_len")
+        sealed = crypto.seal_chunk(F.col("frame"), F.col("hash"), self.keys.data, EPOCH)
+        chunks = staged(encode_frames(chunks, "chunk", "frame").select("path", "ord", "hash", "chunk_len", sealed.alias("sealed")), "chunks")
+        manifest = read.join(chunks.select("path", "ord", "hash", "chunk_len"), "path", "left").select(*columns)
 
-        new = chunks.select("hash", "chunk").join(self.stored().select("hash"), "hash", "left_anti").groupBy("hash").agg(F.first("chunk").alias("chunk"))
-        framed = encode_frames(new, "chunk", "frame")
-        sealed = framed.select(shard_key(F.col("hash")).alias("key"), crypto.seal_chunk(F.col("frame"), F.col("hash"), self.keys.data, EPOCH).alias("data"))
-        blobs.put_blobs(sealed, f"{self.root}/data")
+        new = chunks.select("hash", "sealed").join(self.stored().select("hash"), "hash", "left_anti").groupBy("hash").agg(F.first("sealed").alias("data"))
+        blobs.put_blobs(new.select(shard_key(F.col("hash")).alias("key"), "data"), f"{self.root}/data")
         reused.unionByName(manifest).write.mode("overwrite").parquet(f"file://{self.root}/manifests/{snapshot_id}")
 
         total = found.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
@@ -181,18 +195,20 @@ class Repository:
 
     def chunks(self, wanted: DataFrame) -> DataFrame:
         """``wanted`` (hash, ...) with data: unsealed, unpacked and checked; null where anything is wrong."""
-        sealed = wanted.join(blobs.files(self.spark, f"file://{self.root}/data").select(F.substring_index("key", "/", -1).alias("hash"), F.col("data").alias("sealed")), "hash", "left")
+        sealed = blobs.read_blobs(wanted.withColumn("key", shard_key(F.col("hash"))), f"{self.root}/data").withColumnRenamed("data", "sealed").drop("key")
         opened = sealed.withColumn("frame", crypto.open_chunk(F.col("sealed"), F.col("hash"), {EPOCH: self.keys.data})).drop("sealed")
         plain = decode_frames(opened, "frame", "data", "status").drop("frame", "status")
         return plain.withColumn("data", F.when(digest(F.col("data")) == F.col("hash"), F.col("data")))
 
     def restore(self, snapshot_id: str, target: str, now: int) -> None:
-        """Writes a snapshot's files below ``target``. A chunk that is missing or altered fails it."""
+        """Writes a snapshot's files below ``target``, with owner, mode and time as far as they can be applied. A chunk that is missing or
+        altered fails it. Only the blobs of this snapshot are opened."""
         rows = self.manifest(snapshot_id).select("path", "ord", "hash")
         once = self.chunks(rows.filter("hash is not null").select("hash").distinct())
         sound = F.when(F.col("hash").isNull() | F.col("data").isNotNull(), F.col("data")).otherwise(F.raise_error(F.concat(F.lit("missing or altered: "), F.col("hash"))).cast("binary"))
         blobs.write_files(rows.join(once, "hash", "left").withColumn("chunk", sound), target)
-        self._log(now, "restore", snapshot=snapshot_id)
+        warnings = blobs.apply_metadata(self.manifest(snapshot_id).select(*FILE).distinct(), target).count()
+        self._log(now, "restore", snapshot=snapshot_id, warnings=warnings)
 
     def verify(self) -> DataFrame:
         """hash and status (ok, missing, damaged) of each referenced chunk."""

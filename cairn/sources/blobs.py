@@ -16,6 +16,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest files that captures take along.
 MIB, KEYRING = 1 << 20, 256 << 10
@@ -44,8 +45,8 @@ def files(spark: SparkSession, folder: str, recursive: bool = True, content: boo
 
 
 def walk(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative), mtime and size of all regular files below a folder that the tasks mount: hidden ones and those without bytes
-    too, which Spark's readers skip. Links are not followed; what can't be read is left out."""
+    """path (relative), mtime, size, mode, uid and gid of all regular files below a folder that the tasks mount: hidden ones and those
+    without bytes too, which Spark's readers skip. Links are not followed; what can't be read is left out."""
     base = local_path(folder).rstrip("/")
     tops = sorted(os.listdir(base))
 
@@ -66,11 +67,11 @@ def walk(spark: SparkSession, folder: str) -> DataFrame:
                     except OSError:
                         continue
                     if stat.S_ISREG(st.st_mode):
-                        rows.append((os.path.relpath(path, base), int(st.st_mtime), st.st_size))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], names=["path", "mtime", "size"])
+                        rows.append((os.path.relpath(path, base), int(st.st_mtime), st.st_size, stat.S_IMODE(st.st_mode), st.st_uid, st.st_gid))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 6))], names=["path", "mtime", "size", "mode", "uid", "gid"])
 
     top = spark.createDataFrame([(t,) for t in tops], "top string")
-    return top.repartition(max(1, min(len(tops), 256))).mapInArrow(of, "path string, mtime long, size long")
+    return top.repartition(max(1, min(len(tops), 256))).mapInArrow(of, "path string, mtime long, size long, mode long, uid long, gid long")
 
 
 def read_chunks(paths: DataFrame, folder: str, size: int) -> DataFrame:
@@ -102,8 +103,46 @@ def small_files(spark: SparkSession, folder: str, most_bytes: int = MIB) -> tupl
     return all_.filter(F.col("size") <= most_bytes), all_.filter(F.col("size") > most_bytes).select("key", F.format_string("%d bytes: too large", "size").alias("message"))
 
 
+def mounted(folder: str) -> bool:
+    """Whether tasks open the folder's files by themselves; others are read by Spark (s3a:// and the like)."""
+    return "://" not in folder or folder.startswith("file://")
+
+
+def read_blobs(keys: DataFrame, folder: str, most_bytes: int = 16 << 20) -> DataFrame:
+    """``keys`` (key, ...) with data: each blob opened by its key in the tasks, so that nothing else is read; null for a key that isn't
+    there. Rows go on when ``most_bytes`` are read."""
+    base, at = local_path(folder), keys.columns.index("key")
+    schema = T.StructType([*keys.schema.fields, T.StructField("data", T.BinaryType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data: list[bytes | None] = []
+            first = size = 0
+
+            def held(end: int) -> pa.RecordBatch:
+                columns = [c.slice(first, end - first) for c in batch.columns]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "data"])  # noqa: B023
+
+            for k, key in enumerate(batch.column(at).to_pylist()):
+                try:
+                    with open(os.path.join(base, key), "rb") as f:
+                        data.append(f.read())
+                except (FileNotFoundError, TypeError):  # no such blob, no key
+                    data.append(None)
+                size += len(data[-1] or b"")
+                if size > most_bytes:
+                    yield held(k + 1)
+                    data, first, size = [], k + 1, 0
+            if data:
+                yield held(batch.num_rows)
+
+    return keys.mapInArrow(of, schema)
+
+
 def get_blobs(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """``keys`` (key, ...) with data; null for a key that isn't there."""
+    if mounted(folder):
+        return read_blobs(keys, folder)
     return keys.join(files(spark, folder).select("key", "data"), "key", "left")
 
 
@@ -183,6 +222,27 @@ def write_files(chunks: DataFrame, folder: str) -> None:
     chunks.select("path", "ord", "chunk").repartition("path").sortWithinPartitions("path", "ord").foreachPartition(write)
 
 
+def apply_metadata(files: DataFrame, folder: str) -> DataFrame:
+    """Gives the files (path, mtime, mode, uid, gid) below ``folder`` their owner, mode and time; path and message of what couldn't be
+    applied (only root may give files away), which is a warning and no failure."""
+    base = local_path(folder)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            warnings = []
+            for row in batch.to_pylist():
+                path = os.path.join(base, row["path"])
+                steps = [lambda: os.chown(path, row["uid"], row["gid"]), lambda: os.chmod(path, row["mode"]), lambda: os.utime(path, (row["mtime"], row["mtime"]))]  # noqa: B023
+                for step in steps:
+                    try:
+                        step()
+                    except (OSError, TypeError) as e:
+                        warnings.append((row["path"], str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in warnings], pa.string()) for k in (0, 1)], names=["path", "message"])
+
+    return files.select("path", "mtime", "mode", "uid", "gid").mapInArrow(of, "path string, message string")
+
+
 def write_device(pieces: DataFrame, target: str, size: int) -> None:
     """A sparse file of ``size`` bytes with each piece (at, data) in its place. A piece past the end fails the task."""
     target = local_path(target)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.anomaly import ALPHA, FULL_DEVIATION, LEAST_TRUST
-from ..operators.graph import scratch_dir
+from ..shared import scratch_dir
 
 
 def latest_progress(updates: DataFrame, job: str, order: list[str], value: str) -> DataFrame:
