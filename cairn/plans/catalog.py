@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, dedup, files, integrity, jobs, parsers, retention, streams  # noqa: F401  they register themselves
+from . import analytics, dedup, files, integrity, jobs, parsers, repository, retention, streams  # noqa: F401  they register themselves
 from .registry import ORACLE, QUERIES  # noqa: F401
 
 

@@ -63,18 +63,18 @@ def tree_rollup(spark, sf_dir):
 
 
 def _kept_nations():
-    return "n_nationkey % 5 < 2"
+    return "n_nationkey % 12 = 5"
 
 
-_LIVE = f"""WITH RECURSIVE e AS ({_EDGES}), t AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey % 5 < 2 UNION SELECT e.child FROM t JOIN e ON e.parent = t.id),
-  live AS (SELECT DISTINCT l_partkey AS hash FROM lineitem JOIN t ON id = 'o' || l_orderkey WHERE l_quantity > 40)"""
+_LIVE = f"""WITH RECURSIVE e AS ({_EDGES}), t AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey % 12 = 5 UNION SELECT e.child FROM t JOIN e ON e.parent = t.id),
+  live AS (SELECT DISTINCT l_partkey AS hash FROM lineitem JOIN t ON id = 'o' || l_orderkey)"""
 
 
 def live_chunks(spark, sf_dir):
     """Chunks of the files below the nations that are kept."""
     roots = table(spark, sf_dir, "nation").filter(_kept_nations()).select(F.lit("kept").alias("root"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("object_id"))
     found = graph.reachable(roots, _edges(spark, sf_dir)).filter("object_id like 'o%'").select(F.substring("object_id", 2, 20).cast("long").alias("l_orderkey"))
-    file_chunks = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", F.col("l_partkey").alias("hash"))
+    file_chunks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("hash"))
     return file_chunks.join(found, "l_orderkey", "left_semi").select("hash").distinct()
 
 
@@ -83,18 +83,18 @@ def mark_live(spark, sf_dir):
     return live_chunks(spark, sf_dir)
 
 
-_REFS = "SELECT DISTINCT l_partkey + 100000000 * (l_partkey % 9 = 0)::INT AS hash, l_orderkey % 50 AS snapshot_id FROM lineitem WHERE l_quantity > 46"
+_REFS = "SELECT DISTINCT l_partkey + 100000000 * (l_partkey % 9 = 0)::INT AS hash, l_orderkey % 50 AS snapshot_id FROM lineitem"
 
 
-@query("prune_plan", f"""{_LIVE}, keep AS (SELECT snapshot_id FROM (SELECT DISTINCT l_orderkey % 50 AS snapshot_id FROM lineitem) ORDER BY snapshot_id DESC LIMIT 10),
+@query("prune_plan", f"""{_LIVE}, keep AS (SELECT snapshot_id FROM (SELECT DISTINCT l_orderkey % 50 AS snapshot_id FROM lineitem) ORDER BY snapshot_id DESC LIMIT 3),
   freed AS (SELECT hash FROM ({_REFS}) GROUP BY 1 HAVING count(*) = count_if(snapshot_id NOT IN (SELECT snapshot_id FROM keep)))
   SELECT p_partkey AS hash, CASE WHEN p_partkey IN (SELECT hash FROM live) THEN 'keep' ELSE 'reclaim' END AS action FROM part
   UNION ALL SELECT hash, 'free' FROM freed WHERE hash NOT IN (SELECT p_partkey FROM part) AND hash NOT IN (SELECT hash FROM live)""")
 def prune_plan(spark, sf_dir):
     """Retention, closure, anti-join and references in one plan: what to keep, reclaim and free."""
     snapshots = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("snapshot_id")).distinct().withColumn("timestamp", F.col("snapshot_id"))
-    dropped = retention.with_keep(snapshots, 10, 0, 0).filter("not keep").select("snapshot_id", F.lit(True).alias("dropped"))
-    hashed = table(spark, sf_dir, "lineitem").filter("l_quantity > 46").select((F.col("l_partkey") + F.when(F.col("l_partkey") % 9 == 0, 100_000_000).otherwise(0)).alias("chunk_hash"), (F.col("l_orderkey") % 50).alias("snapshot_id")).distinct()
+    dropped = retention.with_keep(snapshots, 3, 0, 0).filter("not keep").select("snapshot_id", F.lit(True).alias("dropped"))
+    hashed = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + F.when(F.col("l_partkey") % 9 == 0, 100_000_000).otherwise(0)).alias("chunk_hash"), (F.col("l_orderkey") % 50).alias("snapshot_id")).distinct()
     freed = refs_op.newly_unreferenced(hashed.join(dropped, "snapshot_id", "left"), F.coalesce("dropped", F.lit(False)))
     return retention.prune_plan(chunks(spark, sf_dir), live_chunks(spark, sf_dir), freed.select(F.col("chunk_hash").alias("hash")))
 
