@@ -47,6 +47,14 @@ def with_ids(table: DataFrame, rows: DataFrame, id_col: str, order: list[str]) -
     return out.select(*rows.columns, (F.col("__max") + F.col("__first") + F.col("__i") + 1).cast("long").alias(id_col))
 
 
+def ordered_ranks(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... in order within each group, however large: numbers over the whole order, less each group's first."""
+    none = rows.sparkSession.range(0).select(F.col("id").alias(name))
+    numbered = with_ids(none, rows, name, [*group, *order])
+    first = numbered.groupBy(*group).agg(F.min(name).alias("__first"))
+    return numbered.join(first, group).withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+
+
 def key_violations(table: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return table.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

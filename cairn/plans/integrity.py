@@ -19,7 +19,7 @@ KEY = bytes([9]) * 32
 
 def _leaves(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", digest(F.col("text")).alias("node"))
-    return docs.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") - 1)
+    return catalog.ordered_ranks(docs, ["source"], ["doc_id"], "i")
 
 
 _LEAVES = "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, sha256(text) AS node, doc_id FROM documents"
