@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.shared import remove, shared_dir
 from cairn.shipping import ship
 
 
@@ -19,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file:///tmp/checkpoints/cairn"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Parquet tables below the shared folder, which cut lineage and survive lost executors.
 
@@ -46,16 +38,11 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._remove(f"{self.root}/{name}")
-
-    def _remove(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(self.spark, f"{self.root}/{name}")
 
     def _close(self) -> None:
         try:
-            self._remove(self.root)
+            remove(self.spark, self.root)
         except Exception:  # noqa: BLE001  the JVM may have ended before
             return
 
@@ -132,7 +119,9 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], spread: list
     """
     from pyspark.sql import Window
 
-    n = salt_count(rows, per_group)
+    # So many that they spread evenly over the tasks, too, whatever the groups' sizes.
+    even = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(salt_count(rows, per_group), min(salt_count(rows, 1000), even))
     sub = F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int")
     df = df.withColumn("__sub", sub)
     counts = (df if counts_from is None else counts_from.withColumn("__sub", sub)).groupBy(*group, "__sub").agg(F.count(F.lit(1)).alias("__n"))

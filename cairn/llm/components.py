@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .common import small as few
 
 
-def _star(links: DataFrame) -> DataFrame:
-    """Each node's neighbours and itself (u, v), with the least of them as m."""
+def _star(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Each node's neighbours and itself (u, v), with the least of them as m.
+
+    The minima are written, so that the join is one of two tables: by broadcast while they are few, else one whose hot keys
+    adaptive execution splits."""
     least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return links.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
+    return links.join(few(scratch.keep(least, name)), F.col("u") == F.col("w")).select("u", "v", "m")
 
 
 def _is_star(links: DataFrame) -> bool:
@@ -34,10 +38,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now, k = scratch.keep(now, f"{name}-0"), 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _star(large)
+        large = _star(both, scratch, f"{name}-large-{k}").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _star(large, scratch, f"{name}-small-{k}")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now, k = scratch.keep(small.filter(F.col("u") != F.col("v")).distinct(), f"{name}-{k + 1}"), k + 1
-        scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-large-{k - 1}", f"{name}-small-{k - 1}")
         if _is_star(now):
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))

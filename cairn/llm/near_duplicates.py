@@ -34,7 +34,7 @@ DEPTH, VALUES = 4, 128
 #: How seldom a pair of just the least similarity shares no tree key, and how seldom its sketches agree too little.
 MISS_KEYS, MISS_SKETCH = 1e-5, 4e-6
 #: Rows of a region that is no deeper than it must be; rows that a task compares at once.
-FEW, PIECE = 16, 1 << 14
+FEW, PIECE = 8, 1 << 14
 #: Documents of a large cluster that every block of it gets.
 HUBS = 8
 #: Shingles of a block of a candidate cluster.
@@ -231,11 +231,22 @@ def _forest(batches: Iterator[pa.RecordBatch], least: int, piece: int) -> Iterat
         size += len(one)
 
     def compare(shared: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> None:
-        near = np.flatnonzero(shared > 0)
-        near = near[_agree(sketch[near - 1], sketch[near], least)]
-        link(ids[near - 1], ids[near])
         starts = regions(shared)
-        for k in np.flatnonzero(np.diff(starts) > 2):
+        size = np.diff(starts)
+        place = np.arange(len(ids)) - np.repeat(starts[:-1], size)
+        few = np.repeat(size <= FEW, size)
+        # Neighbours that share a value, whatever region they are in; then all pairs of a small region, by their distance.
+        pairs = [np.flatnonzero((shared > 0) | few & (place > 0))]
+        for d in range(2, FEW):
+            pairs.append(np.flatnonzero(few & (place >= d)))
+            if not len(pairs[-1]):
+                break
+        for d, later in enumerate(pairs, 1):
+            for at in range(0, len(later), 1 << 14):
+                x = later[at : at + (1 << 14)]
+                x = x[_agree(sketch[x - d], sketch[x], least)]
+                link(ids[x - d], ids[x])
+        for k in np.flatnonzero(size > FEW):
             at, end = starts[k], starts[k + 1]
             found = np.array(spanning(_BySketch(sketch[at:end], least)), np.int64).reshape(-1, 2) + at
             link(ids[found[:, 0]], ids[found[:, 1]])
