@@ -87,7 +87,7 @@ def units(df: DataFrame) -> DataFrame:
 def resolv(df: DataFrame) -> DataFrame:
     p = lines(df).withColumn("p", _fields(F.substring_index("line", "#", 1))).filter(F.size("p") >= 2)
     rows = p.withColumn("kind", F.get("p", F.lit(0))).filter(F.col("kind").isin("nameserver", "search"))
-    values = F.when(F.col("kind") == "nameserver", F.slice("p", 2, 1)).otherwise(F.slice("p", 2, 1000))
+    values = F.when(F.col("kind") == "nameserver", F.slice("p", 2, 1)).otherwise(F.slice("p", 2, F.size("p")))
     return rows.select("kind", F.explode(values).alias("value"))
 
 
@@ -121,7 +121,7 @@ def sgdisk(df: DataFrame) -> DataFrame:
     rows = rows.withColumn("inside", F.coalesce(F.max(head).over(w), F.lit(False))).withColumn("guid", F.max(F.nullif(F.regexp_extract("line", r"(?i)disk identifier \(GUID\):\s*(\S+)", 1), F.lit(""))).over(Window.partitionBy()))
     rows = rows.withColumn("p", _fields(F.col("line"))).filter(F.col("inside") & (F.size("p") >= 6) & F.get("p", F.lit(0)).rlike("^[0-9]+$"))
     at = lambda i: F.get("p", F.lit(i))
-    return rows.select(F.coalesce("guid", F.lit("")).alias("guid"), at(0).cast("long").alias("number"), number(at(1)).alias("start"), number(at(2)).alias("end"), F.array_join(F.slice("p", 7, 1000), " ").alias("name"))
+    return rows.select(F.coalesce("guid", F.lit("")).alias("guid"), at(0).cast("long").alias("number"), number(at(1)).alias("start"), number(at(2)).alias("end"), F.array_join(F.slice("p", 7, F.size("p")), " ").alias("name"))
 
 
 def sfdisk(df: DataFrame) -> DataFrame:

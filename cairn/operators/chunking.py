@@ -127,7 +127,7 @@ def content_chunks(files: DataFrame, data: str, least: int = LEAST, mean: int =
 def restored(chunks: DataFrame, key: list[str], data: str = "chunk", order: str = "ord") -> DataFrame:
     """Files again: the chunks of each key, in order, joined into ``content``."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d"))))
-    return chunks.groupBy(*key).agg(F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["d"])).alias("content"))
+    return chunks.groupBy(*key).agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["d"])), "")).alias("content"))
 
 
 def path_objects(paths: Column) -> Column:

@@ -39,7 +39,8 @@ def with_existence(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 def stats(refs: DataFrame) -> DataFrame:
     by_hash = refs.groupBy("chunk_hash").agg(F.count(F.lit(1)).alias("n"))
     whole = by_hash.agg(F.count(F.lit(1)).alias("unique_chunks"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_references"))
-    return whole.withColumn("snapshots", F.lit(refs.select("snapshot_id").distinct().count()).cast("long"))
+    snapshots = refs.select("snapshot_id").distinct().agg(F.count(F.lit(1)).alias("snapshots"))
+    return whole.crossJoin(F.broadcast(snapshots))  # one row each
 
 
 def unchanged(current: DataFrame, tracked: DataFrame) -> DataFrame:

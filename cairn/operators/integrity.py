@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hmac import new as hmac_of
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import ZERO, branch, digest, hmac, leaf
 
@@ -55,20 +60,29 @@ def merkle_diff(expected: DataFrame, actual: DataFrame, key: list[str], order: s
 def signed_chain(entries: DataFrame, log: list[str], order: list[str], message: Column, key: bytes) -> DataFrame:
     """Adds idx, prev_signature and signature to the entries of each log: each signs its message and the signature before.
 
-    Signing is sequential within a log, as the signatures are; logs are signed beside each other.
+    Signing is sequential within a log, as the signatures are; logs are signed beside each other, each as its sorted entries come by,
+    so that a task holds the signature before and no more.
     """
     own = entries.columns
-    rows = entries.withColumn("__message", message).withColumn("idx", F.row_number().over(Window.partitionBy(*log).orderBy(*order)).cast("long") - 1)
-    listed = rows.groupBy(*log).agg(F.array_sort(F.collect_list(F.struct("idx", "__message"))).alias("__all"))
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("idx"), F.lit("").alias("prev"), F.lit("").alias("sig")))
-
-    def sign(a: Column, e: Column) -> Column:
-        before = F.element_at(a, -1)["sig"]
-        return F.concat(a, F.array(F.struct(e["idx"].alias("idx"), before.alias("prev"), hmac(key, F.concat_ws("|", e["__message"], before)).alias("sig"))))
-
-    signed = listed.select(*log, F.explode(F.slice(F.aggregate("__all", start, sign), 2, 1_000_000_000)).alias("__s"))
-    signed = signed.select(*log, F.col("__s.idx").alias("idx"), F.col("__s.prev").alias("prev_signature"), F.col("__s.sig").alias("signature"))
-    return rows.drop("__message").join(signed, [*log, "idx"]).select(*own, "idx", "prev_signature", "signature")
+    rows = entries.withColumn("__message", message).repartition(*log).sortWithinPartitions(*log, *order)
+    at = [own.index(c) for c in log]
+    names = [*own, "idx", "prev_signature", "signature"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, idx, last = None, 0, ""
+        for batch in batches:
+            new = []
+            for *where, text in zip(*(batch.column(k).to_pylist() for k in at), batch.column(len(own)).to_pylist(), strict=True):
+                if where != now:
+                    now, idx, last = where, 0, ""
+                before, last = last, hmac_of(key, "|".join([*([] if text is None else [text]), last]).encode(), "sha256").hexdigest()
+                new.append((idx, before, last))
+                idx += 1
+            columns = [pa.array([x[k] for x in new], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *columns], names=names)
+
+    added = [T.StructField("idx", T.LongType()), T.StructField("prev_signature", T.StringType()), T.StructField("signature", T.StringType())]
+    return rows.mapInArrow(sign, T.StructType([*entries.schema.fields, *added]))
 
 
 def verified_chain(entries: DataFrame, log: list[str], message: Column, key: bytes, order: str = "idx") -> DataFrame:

@@ -105,11 +105,11 @@ def run_schedules(templates: DataFrame, now: int) -> tuple[DataFrame, DataFrame]
     job, however many runs were missed; one without next_run gets its first."""
 
     def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        year = 366 * 86_400
+        year = 366 * 86_400  # a 29 February comes again after eight years at most
         for pdf in parts:
             rows = []
             for r in pdf.itertuples():
-                upcoming = lambda t: next(cron_times(r.schedule_cron, t, t + 5 * year), None)  # noqa: B023, E731
+                upcoming = lambda t: next(cron_times(r.schedule_cron, t, t + 9 * year), None)  # noqa: B023, E731
                 at = None if pd.isna(r.next_run) else int(r.next_run)
                 fires = at is not None and now >= at
                 rows.append((r.id, r.schedule_cron, upcoming(now) if fires or at is None else at, fires, at if fires else None))

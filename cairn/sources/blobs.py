@@ -1,7 +1,7 @@
 """Content-addressed blobs below a folder, files of a tree, and sparse devices, as sources and sinks.
 
-Reading goes through Spark's binaryFile reader, so any file system Spark knows will do (s3a:// for S3). Writing and deleting
-single files happens in the tasks, on a file system that all of them mount.
+Folders are listed by Spark's binaryFile reader, so any file system Spark knows will do (s3a:// for S3). Single blobs are read, written
+and deleted in the tasks: on a file system that all of them mount, or in an object store (``Remote``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import os
 import re
 import stat
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +29,18 @@ def local_path(folder: str) -> str:
 def files(spark: SparkSession, folder: str, recursive: bool = True, content: bool = True, empty: bool = False) -> DataFrame:
     """key (relative to the folder), mtime (seconds), size and data of the regular files below a folder.
 
-    Without ``content`` no file is opened. The reader skips files without bytes; with ``empty`` they are added from its listing,
-    with mtime 0. An empty folder gives no rows.
+    Without ``content`` no file is opened. The reader skips files without bytes; with ``empty`` those of a mounted folder are added.
+    An empty folder gives no rows.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     base = local_path(folder).rstrip("/")
     key = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in base) + "/+", "")
-    if empty:
-        listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()], "path string")
-        none = listed.join(found.select("path"), "path", "left_anti")
-        found = found.unionByName(none.withColumns({"modificationTime": F.timestamp_seconds(F.lit(0)), "length": F.lit(0).cast("long"), "content": F.lit(b"")}))
     columns = [key.alias("key"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size")]
-    return found.select(*columns, *([F.col("content").alias("data")] if content else []))
+    found = found.select(*columns, *([F.col("content").alias("data")] if content else []))
+    if empty:
+        none = walk(spark, folder).filter("size = 0").filter(~F.col("path").rlike("(^|/)[._]") & (F.lit(recursive) | ~F.contains("path", F.lit("/"))))
+        found = found.unionByName(none.select(F.col("path").alias("key"), "mtime", "size", *([F.lit(b"").alias("data")] if content else [])))
+    return found
 
 
 def walk(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,10 +107,60 @@ def mounted(folder: str) -> bool:
     return "://" not in folder or folder.startswith("file://")
 
 
-def read_blobs(keys: DataFrame, folder: str, most_bytes: int = 16 << 20) -> DataFrame:
+class Mounted:
+    """Blobs below a folder that all tasks mount."""
+
+    def __init__(self, folder: str):
+        self.base = local_path(folder)
+
+    def put(self, key: str, data: bytes) -> None:
+        put_file(os.path.join(self.base, key), data)
+
+    def get(self, key: str) -> bytes:
+        with open(os.path.join(self.base, key), "rb") as f:
+            return f.read()
+
+    def delete(self, key: str) -> None:
+        os.remove(os.path.join(self.base, key))
+
+
+class Remote:
+    """Blobs of an object store by the URI of their folder (s3://bucket/prefix, s3a:// alike), through pyarrow's file systems in the
+    tasks. Such a store shows an object whole or not at all."""
+
+    def __init__(self, folder: str):
+        self.folder = re.sub("^s3[an]://", "s3://", folder.rstrip("/"))
+
+    def _at(self, key: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(f"{self.folder}/{key}")
+
+    def put(self, key: str, data: bytes) -> None:
+        system, path = self._at(key)
+        if not path.startswith("s3") and system.type_name in ("local", "hdfs"):
+            system.create_dir(os.path.dirname(path), recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(data)
+
+    def get(self, key: str) -> bytes:
+        system, path = self._at(key)
+        with system.open_input_stream(path) as f:
+            return f.read()
+
+    def delete(self, key: str) -> None:
+        system, path = self._at(key)
+        system.delete_file(path)
+
+
+def store_of(folder: str) -> Mounted | Remote:
+    return Mounted(folder) if mounted(folder) else Remote(folder)
+
+
+def read_blobs(keys: DataFrame, folder: str | Mounted | Remote, most_bytes: int = 16 << 20) -> DataFrame:
     """``keys`` (key, ...) with data: each blob opened by its key in the tasks, so that nothing else is read; null for a key that isn't
     there. Rows go on when ``most_bytes`` are read."""
-    base, at = local_path(folder), keys.columns.index("key")
+    store, at = store_of(folder) if isinstance(folder, str) else folder, keys.columns.index("key")
     schema = T.StructType([*keys.schema.fields, T.StructField("data", T.BinaryType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +174,8 @@ def read_blobs(keys: DataFrame, folder: str, most_bytes: int = 16 << 20) -> Data
 
             for k, key in enumerate(batch.column(at).to_pylist()):
                 try:
-                    with open(os.path.join(base, key), "rb") as f:
-                        data.append(f.read())
-                except (FileNotFoundError, TypeError):  # no such blob, no key
+                    data.append(store.get(key) if key is not None else None)
+                except FileNotFoundError:
                     data.append(None)
                 size += len(data[-1] or b"")
                 if size > most_bytes:
@@ -141,9 +189,7 @@ def read_blobs(keys: DataFrame, folder: str, most_bytes: int = 16 << 20) -> Data
 
 def get_blobs(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     """``keys`` (key, ...) with data; null for a key that isn't there."""
-    if mounted(folder):
-        return read_blobs(keys, folder)
-    return keys.join(files(spark, folder).select("key", "data"), "key", "left")
+    return read_blobs(keys, folder)
 
 
 def put_file(path: str, data: bytes) -> None:
@@ -162,12 +208,12 @@ def put_file(path: str, data: bytes) -> None:
         raise
 
 
-def put_blobs(blobs: DataFrame, folder: str, check_hash: bool = False) -> None:
+def put_blobs(blobs: DataFrame, folder: str | Mounted | Remote, check_hash: bool = False) -> None:
     """Writes data under key for each row (key, data). A task that runs again writes the same again.
 
     With ``check_hash`` a key that isn't ab/hash of its data fails the task.
     """
-    base = local_path(folder)
+    store = store_of(folder) if isinstance(folder, str) else folder
 
     def write(rows) -> None:
         import hashlib
@@ -175,18 +221,18 @@ def put_blobs(blobs: DataFrame, folder: str, check_hash: bool = False) -> None:
         for row in rows:
             if check_hash and row["key"].split("/")[-1] != hashlib.sha256(row["data"]).hexdigest():
                 raise ValueError(f"{row['key']} does not name its bytes")
-            put_file(os.path.join(base, row["key"]), bytes(row["data"]))
+            store.put(row["key"], bytes(row["data"]))
 
     blobs.select("key", "data").foreachPartition(write)
 
 
-def delete_blobs(keys: DataFrame, folder: str) -> None:
-    base = local_path(folder)
+def delete_blobs(keys: DataFrame, folder: str | Mounted | Remote) -> None:
+    store = store_of(folder) if isinstance(folder, str) else folder
 
     def remove(rows) -> None:
         for row in rows:
             try:
-                os.remove(os.path.join(base, row["key"]))
+                store.delete(row["key"])
             except FileNotFoundError:
                 continue
 

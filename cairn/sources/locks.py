@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import os
 import shutil
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,31 +16,39 @@ from . import blobs
 CANARY_NAME, CANARY = "cairn-canary.txt", b"cairn canary: do not modify\n"
 
 
+LOCK = "key string, mode string, retain_until long, legal_hold boolean"
+
+
 class LockedStore:
     """Blobs below a folder with a table of locks (key, mode, retain_until in seconds, legal_hold). The lock is kept by this class; a
     store that can't lock is asked for one in vain."""
 
     def __init__(self, spark: SparkSession, folder: str, can_lock: bool = True):
         self.spark, self.folder, self.can_lock = spark, blobs.local_path(folder), can_lock
-        self.table = f"{self.folder}/locks.json"
-
-    def locks(self) -> dict[str, dict]:
-        if not os.path.exists(self.table):
-            return {}
-        with open(self.table, encoding="utf-8") as f:
-            return json.load(f)
-
-    def set_lock(self, keys: list[str], lock: dict) -> None:
+        self.table = f"{self.folder}/.locks"
+
+    def locks(self) -> DataFrame:
+        """key, mode, retain_until, legal_hold: the last lock of each key. Each change is a table of its own, so none is rewritten."""
+        versions = [f"file://{self.table}/{v}" for v in sorted(os.listdir(self.table))] if os.path.isdir(self.table) else []
+        if not versions:
+            return self.spark.createDataFrame([], LOCK)
+        every = self.spark.read.schema(LOCK + ", version long").parquet(*versions)
+        last = F.max_by(F.struct("mode", "retain_until", "legal_hold"), "version").alias("x")
+        return every.groupBy("key").agg(last).select("key", "x.*")
+
+    def set_lock(self, keys: list[str] | DataFrame, lock: dict) -> None:
         """Longer locks stay: a date can be moved ahead only, as long as the mode is compliance."""
         if not self.can_lock:
             raise NotImplementedError("this store has no locks")
-        now = self.locks()
-        for k in keys:
-            old = now.get(k)
-            if old and old["mode"] == "compliance" and (lock.get("retain_until") or 0) < (old.get("retain_until") or 0):
-                raise PermissionError(f"{k} is locked until {old['retain_until']}")
-            now[k] = {"mode": lock["mode"], "retain_until": lock.get("retain_until"), "legal_hold": bool(lock.get("legal_hold"))}
-        blobs.put_file(self.table, json.dumps(now, sort_keys=True).encode())
+        if isinstance(keys, list):
+            keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
+        keys, until = keys.select("key").distinct(), lock.get("retain_until")
+        shorter = self.locks().filter((F.col("mode") == "compliance") & (F.coalesce("retain_until", F.lit(0)) > (until or 0))).join(keys, "key", "left_semi").first()
+        if shorter:
+            raise PermissionError(f"{shorter.key} is locked until {shorter.retain_until}")
+        version = len(os.listdir(self.table)) if os.path.isdir(self.table) else 0
+        values = [F.lit(lock["mode"]).alias("mode"), F.lit(until).cast("long").alias("retain_until"), F.lit(bool(lock.get("legal_hold"))).alias("legal_hold"), F.lit(version).cast("long").alias("version")]
+        keys.select("key", *values).write.parquet(f"file://{self.table}/{version:09d}")
 
     def write_once(self, rows: DataFrame, lock: dict | None) -> None:
         """Writes rows (key, data) and locks their keys."""
@@ -47,14 +56,13 @@ class LockedStore:
             raise NotImplementedError("this store has no locks")
         blobs.put_blobs(rows, self.folder)
         if lock:
-            self.set_lock([r.key for r in rows.select("key").toLocalIterator()], lock)
+            self.set_lock(rows, lock)
 
     def delete(self, keys: DataFrame, now: int) -> DataFrame:
         """Deletes what isn't locked at ``now``; the rows that stay."""
-        held = [k for k, x in self.locks().items() if x["legal_hold"] or (x["retain_until"] or 0) > now]
-        locked = keys.filter(F.col("key").isin(held))
-        blobs.delete_blobs(keys.filter(~F.col("key").isin(held)), self.folder)
-        return locked
+        held = self.locks().filter(F.col("legal_hold") | (F.coalesce("retain_until", F.lit(0)) > now)).select("key")
+        blobs.delete_blobs(keys.join(held, "key", "left_anti"), self.folder)
+        return keys.join(held, "key", "left_semi").select(*keys.columns)
 
 
 def deploy_canary(folder: str) -> str:
@@ -76,16 +84,17 @@ def quarantine(anomalies: DataFrame, source: str, target: str) -> int:
     source, target = blobs.local_path(source), blobs.local_path(target)
     anomalies.write.mode("overwrite").json(f"file://{target}/manifest")
 
-    def copy(rows):
-        done = 0
-        for row in rows:
-            to = os.path.join(target, "files", row.path)
-            try:
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                shutil.copyfile(os.path.join(source, row.path), to)
-                done += 1
-            except OSError:
-                continue
-        yield done
-
-    return sum(anomalies.select("path").distinct().rdd.mapPartitions(copy).collect())  # one number a task
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for path in batch.column(0).to_pylist():
+                to = os.path.join(target, "files", path)
+                try:
+                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    shutil.copyfile(os.path.join(source, path), to)
+                    done += 1
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    return anomalies.select("path").distinct().mapInArrow(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

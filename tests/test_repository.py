@@ -131,6 +131,45 @@ def test_blobs(spark, tmp_path):
         blobs.write_files(spark.createDataFrame([("../evil", 0, b"x")], "path string, ord long, chunk binary"), str(tmp_path / "in"))
 
 
+def test_remote_blobs_and_reads_by_key(spark, tmp_path):
+    """An object store by URI; here the URI of a local folder, read and written by the same calls."""
+    far = blobs.Remote(f"file://{tmp_path}/bucket")
+    rows = spark.createDataFrame([("aa/x", b"1"), ("bb/y", b"22" * 50)], "key string, data binary")
+    blobs.put_blobs(rows, far)
+    wanted = spark.createDataFrame([("aa/x", 1), ("gone", 2), (None, 3), ("bb/y", 4)], "key string, n long").coalesce(1)
+    for most in (1, 1 << 20):
+        assert {(r.key, r.n): r.data and bytes(r.data) for r in blobs.read_blobs(wanted, far, most).collect()} == {("aa/x", 1): b"1", ("gone", 2): None, (None, 3): None, ("bb/y", 4): b"22" * 50}
+    blobs.delete_blobs(wanted.filter("key = 'aa/x' or key = 'gone'"), far)
+    assert [r.key for r in blobs.read_blobs(rows.select("key"), far).filter("data is null").collect()] == ["aa/x"]
+    assert blobs.Remote("s3a://b/p/").folder == "s3://b/p" and isinstance(blobs.store_of("s3a://b/p"), blobs.Remote) and isinstance(blobs.store_of(str(tmp_path)), blobs.Mounted)
+
+
+def test_metadata_is_applied_or_warned_about(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    rows = spark.createDataFrame([("a", 1000, 0o640, os.getuid(), os.getgid()), ("gone", 1, 0o600, 0, 0)], "path string, mtime long, mode long, uid long, gid long")
+    warned = {r.path for r in blobs.apply_metadata(rows, str(tmp_path)).collect()}
+    st = os.stat(tmp_path / "a")
+    assert (int(st.st_mtime), st.st_mode & 0o777) == (1000, 0o640) and warned == {"gone"}
+
+
+def test_a_file_that_changes_during_a_backup(spark, tmp_path, monkeypatch):
+    """Blobs and manifest come from the same reading: what is backed up can be restored."""
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "f").write_bytes(b"before")
+    repo = Repository.create(spark, str(tmp_path / "repo"), "pw")
+    put = blobs.put_blobs
+
+    def changed(*args, **kwargs):
+        (src / "f").write_bytes(b"and after, longer")
+        return put(*args, **kwargs)
+
+    monkeypatch.setattr(blobs, "put_blobs", changed)
+    repo.backup(str(src), "a", 1)
+    repo.restore("a", str(tmp_path / "out"), 2)
+    assert (tmp_path / "out" / "f").read_bytes() == b"before" and not os.path.exists(tmp_path / "repo/staging/a")
+
+
 def test_stores(spark, tmp_path):
     store = logs.SecretStore(spark, str(tmp_path / "vault.json"), b"k" * 32)
     assert store.names() == [] and store.get("a") is None
