@@ -119,6 +119,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -
 def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
     """sequence_id and its ids, padded to ``capacity``, from packed pieces that still carry ``ids``."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"]))
+    joined = F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p["ids"])), ""))
     pad = F.unhex(F.repeat(F.hex(F.lit(pad_id.to_bytes(4, "little"))), capacity))
     return pieces.groupBy("sequence_id").agg(F.substring(F.concat(joined, pad), 1, 4 * capacity).alias("ids"))
