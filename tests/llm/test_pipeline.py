@@ -58,6 +58,14 @@ def test_run(spark, sf):
     assert all(len(x) == 1 for x in by_class.values())
 
 
+def test_other_columns_do_not_matter(spark, tmp_path):
+    """Columns besides those of documents, some named like the operators' own, are not carried on and change nothing."""
+    folder = tables(spark, str(tmp_path))
+    for _, stage in cp.STAGES:
+        plain, extra = (sorted(map(tuple, stage(spark, cases.documents(spark, extra=x), folder).collect()), key=repr) for x in (False, True))
+        assert plain == extra and plain
+
+
 def test_native_stages(spark, tmp_path):
     folder = tables(spark, str(tmp_path))
     for stage in (cp.keep_good, cp.remove_secrets):
