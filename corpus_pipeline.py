@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: quality rules, near duplicates, benchmark removal, secret removal, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns the columns of ``documents``; the
-last one returns the packed pieces. ``run`` writes each stage's rows to the shared folder and reads them again, so a lost
+last one returns the packed pieces. An empty table gives an empty table. Columns besides those of ``documents`` are dropped, whatever
+their names. ``run`` writes each stage's rows to the shared folder and reads them again, so a lost
 executor costs the stage at most.
 """
 
@@ -29,12 +30,19 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality rules reject. Texts stay as they are."""
+    """Drops what the quality rules reject. Texts stay as they are.
+
+    Null and empty texts are rejected; equal rows get equal verdicts; without trusted documents the base rules alone decide.
+    """
     return quality(docs, table(spark, sf_dir, "labels")).filter("kept").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate class, once. Rows without an id stay."""
+    """Keeps the document of least id of each near-duplicate class, once. Rows without an id stay.
+
+    Null and empty texts are linked with nothing and stay. Of equal rows one stays; of an id with several texts (whose classes count as
+    one) the row of the least text, language and source.
+    """
     scratch = Scratch(spark, "pipeline-near")
     classes = scratch.keep(near_duplicate_classes(docs, percent=NEAR_PERCENT).filter("doc_id is not null").select(F.col("doc_id").alias("__id"), "kept"), "classes")
     # Rows of an id that has one row, and stays, pass by without a shuffle of their text.
@@ -47,18 +55,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the passages of the benchmark out of the texts. Every document stays."""
+    """Takes the passages of the benchmark out of the texts. Every document stays, null and empty texts as they are."""
     return _documents(remove_hits(find_benchmark(docs, table(spark, sf_dir, "benchmark"))))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of each secret. Every document stays."""
+    """Puts a mark in the place of each secret. Every document stays, null and empty texts as they are; a null source is an owner."""
     found = find_secrets(docs, Scratch(spark, "pipeline-secrets"), F.col("source"), F.concat_ws("/", "source", "lang"))
     return _documents(redact(found))
 
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into token sequences: one row per piece."""
+    """Packs the texts into token sequences: one row per piece. A null or empty text has the end id alone; equal rows are packed each."""
     return pack_documents(docs, vocabulary())
 
 
