@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, small
+
 CRLF = "\r\n"
 #: Date of the records; a parameter, so that an archive can be written twice alike.
 DATE = "2024-01-01T00:00:00Z"
@@ -43,8 +45,10 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
     """
     full = _hashed(pages)
     narrow = full.select("page_id", "url", "digest", base32(F.sha1("payload")).alias("sha1"), "payload_bytes")
-    winners = full.groupBy("digest").agg(F.max("page_id").alias("first_id"))
-    rows = narrow.join(winners, "digest")
+    # Only payloads that occur more than once need a join, and these are few as a rule.
+    copied = full.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    scratch = Scratch(pages.sparkSession, "archive-copies")
+    rows = narrow.join(small(scratch.keep(copied, "copied")), "digest", "left").withColumn("first_id", F.coalesce("first_id", "page_id"))
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), _line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(CRLF))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
@@ -65,13 +69,15 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
     # Rows of one digest have the same bytes: each task sends on one of them, however frequent the payload.
     once = full.groupBy("digest").agg(F.first("payload").alias("payload"))
     once.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
+    scratch.drop("copied")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: page_id, target, record_type, refers_to, payload_digest, payload_bytes, payload and record (exact bytes).
 
     Fields come out of the stored header. Each stored payload is read and hashed once, before the join; one that is missing or
-    doesn't have both digests fails the query. If neither payload nor record is asked for, the join moves no payload.
+    doesn't have both digests fails the query, and so does a record whose header and payload aren't as long as its Content-Length
+    says. If neither payload nor record is asked for, the join moves no payload.
     """
     records, payloads = spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/payloads")
     head = F.decode("head", "UTF-8")
@@ -79,12 +85,16 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     lost = lambda what: F.raise_error(F.concat(F.lit("payload lost or altered: "), what))
     stored = payloads.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.sha2("payload", 256) == F.col("digest"), base32(F.sha1("payload"))).otherwise(lost(F.col("digest"))).alias("sha1"))
     told = field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")
+    # A record's block: the HTTP header, and a response's payload. The first empty line ends the WARC header.
+    http = F.octet_length("head") - F.octet_length(F.substring_index(head, CRLF * 2, 1)) - len(CRLF * 2)
+    block = http + F.when(field("WARC-Type", "([a-z]+)") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
+    whole = block == field("Content-Length", "([0-9]+)").cast("long")
     rows = records.join(stored, "digest", "left").select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         field("WARC-Target-URI", "([^\r]*)").alias("target"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
-        F.when(F.col("sha1") == told, told).otherwise(lost(F.col("digest"))).alias("payload_digest"),
+        F.when((F.col("sha1") == told) & whole, told).otherwise(lost(F.col("digest"))).alias("payload_digest"),
         "payload_bytes", "payload", "head",
     )
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"").cast("binary"))
