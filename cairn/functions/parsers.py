@@ -172,9 +172,12 @@ def is_lvm_volume(path: Column) -> Column:
     return lv_path(path).isNotNull()
 
 
-def root_disk(cmdline: Column) -> Column:
-    """The disk of the kernel command line's root= device; null without one, or where it is a UUID to be resolved."""
-    return F.when(F.regexp_extract(cmdline, r"(?:^|\s)root=(/dev/\S+)", 1) != "", disk_of_partition(F.regexp_extract(cmdline, r"(?:^|\s)root=(/dev/\S+)", 1)))
+def root_disk(cmdline: Column, by_uuid: Column | None = None) -> Column:
+    """The disk of the kernel command line's root= device, or of the device that ``by_uuid`` (a map) has for root=UUID=; else null."""
+    device = F.nullif(F.regexp_extract(cmdline, r"(?:^|\s)root=(/dev/\S+)", 1), F.lit(""))
+    if by_uuid is not None:
+        device = F.coalesce(device, F.try_element_at(by_uuid, F.regexp_extract(cmdline, r"(?:^|\s)root=UUID=(\S+)", 1)))
+    return F.when(device.isNotNull(), disk_of_partition(device))
 
 
 def manifest_version(metadata: Column) -> Column:

@@ -37,9 +37,10 @@ def with_entropy(files: DataFrame, data: str, out: str = "entropy", sample: int
 
 def anomalies(files: DataFrame, threshold: float, canary: Column) -> DataFrame:
     """path, kind, entropy, threshold: files of high entropy, and canaries (a condition on files) that were altered."""
-    high = files.filter(F.col("entropy") >= threshold).select("path", F.lit("HighEntropy").alias("kind"), "entropy", F.lit(threshold).alias("threshold"))
-    touched = files.filter(canary).select("path", F.lit("CanaryModified").alias("kind"), F.lit(None).cast("double").alias("entropy"), F.lit(None).cast("double").alias("threshold"))
-    return high.unionByName(touched)
+    none = F.lit(None).cast("double")
+    kinds = [(F.col("entropy") >= threshold, "HighEntropy", F.col("entropy"), F.lit(float(threshold))), (canary, "CanaryModified", none, none)]
+    found = [F.when(c, F.struct(F.lit(kind).alias("kind"), e.alias("entropy"), t.alias("threshold"))) for c, kind, e, t in kinds]
+    return files.select("path", F.inline(F.array_compact(F.array(*found))))  # files are read once for both
 
 
 def _score(x: Column, baseline: Column) -> Column:

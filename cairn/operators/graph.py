@@ -12,11 +12,14 @@ def reachable(roots: DataFrame, edges: DataFrame, most_levels: int = 10_000) ->
     """(root, object_id) pairs, each once: ``roots`` (root, object_id) and all that ``edges`` (parent, child) lead to.
 
     Breadth first: each level is written to the shared folder and holds what no earlier level has, so cycles end and shared
-    objects count once. The driver sees one count a level.
+    objects count once. Edges are written once, whatever they are derived from. The driver sees one truth value a level.
     """
     spark, at = roots.sparkSession, scratch_dir(roots.sparkSession)
     schema = "root " + roots.schema["root"].dataType.simpleString() + ", object_id " + roots.schema["object_id"].dataType.simpleString()
     roots.select("root", "object_id").distinct().write.parquet(f"{at}/level=0")
+    steps = edges.select("parent", "child")
+    steps.write.parquet(f"{at}/edges")
+    edges = spark.read.schema(steps.schema).parquet(f"{at}/edges")
     for level in range(most_levels):
         seen = spark.read.schema(schema).parquet(*[f"{at}/level={k}" for k in range(level + 1)])
         now = spark.read.schema(schema).parquet(f"{at}/level={level}")

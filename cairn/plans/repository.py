@@ -251,6 +251,16 @@ def sealed_texts(spark, sf_dir):
     return sealed.select("s_suppkey", crypto.open_text(F.col("frame"), keys.data).alias("text"), F.lit("legacy").alias("framing"), refused.alias("wrong_key_refused"))
 
 
+@query("root_disks", r"""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN '/dev/sd' || chr(97 + c_nationkey % 26) WHEN 1 THEN '/dev/nvme' || c_nationkey || 'n1' WHEN 2 THEN '/dev/vdb' END AS disk FROM customer""")
+def root_disks(spark, sf_dir):
+    """Kernel command lines with the root device named, named by its UUID, or not at all."""
+    n = F.col("c_nationkey")
+    letter = F.char(F.lit(97) + n % 26)
+    line = F.when(n % 4 == 0, F.concat(F.lit("quiet root=/dev/sd"), letter, F.lit("2 ro"))).when(n % 4 == 1, F.format_string("root=/dev/nvme%dn1p%d", n, n + 1)).when(n % 4 == 2, F.lit("ro root=UUID=ab-cd splash")).otherwise(F.lit("ro noroot=/dev/sda1"))
+    known = F.create_map(F.lit("ab-cd"), F.lit("/dev/vdb3"))
+    return table(spark, sf_dir, "customer").select("c_custkey", parsers.root_disk(line, known).alias("disk"))
+
+
 @query("scalar_rules", r"""SELECT c_custkey, regexp_full_match(c_name, '[A-Za-z0-9_.-]{1,128}') AS safe, coalesce(try_cast(regexp_extract(c_name, '#(\d+)$', 1) AS BIGINT), 0) AS number, c_name AS unquoted FROM customer""")
 def scalar_rules(spark, sf_dir):
     """Names of volumes, numbers and quoted texts, read from customers' names."""
