@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsers as P
-from .registry import query
+from .registry import query, table
 
 # Inputs.
 DPKG = "zlib1g\t1.3-1\tamd64\tinstalled\noldlib\t0.9\tamd64\tconfig-files\nnoarch\t2.0\tall\nbad\t1"
@@ -55,6 +55,27 @@ query("parse_mdadm", _rows("device, uuid, level, raid, total", "'md1', 'a:b', 'r
 query("parse_routes", _rows("dst, gw, dev, metric, family", "'default', '10.0.0.1', 'e0', 5::BIGINT, 2::INT", "'fe80::/64', NULL, 'e0', NULL, 10::INT"))(_parsed(P.routes, ROUTES))
 
 
+# One text for each supplier, said once in SQL that Spark and DuckDB read alike; the oracle takes the same texts apart by patterns.
+_PACKAGE = "replace(s_name, '#', '-') || '{0}' || s_nationkey || '.' || s_suppkey || '-r' || (s_suppkey % 7)"
+
+
+def _generated(name: str, parse, text: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return parse(table(spark, sf_dir, "supplier").select(F.expr(text).alias("txt")))
+
+    query(name, sql.replace("GENERATED", f"(SELECT {text} AS txt FROM supplier)"))(run)
+
+
+_generated("dpkg_lines", P.dpkg, _PACKAGE.format("\t") + " || '\tamd64\t' || CASE WHEN s_suppkey % 3 = 0 THEN 'config-files' ELSE 'installed' END || '\nbroken line\n'", r"""SELECT regexp_extract(txt, '^([^\t]+)\t', 1) AS name, regexp_extract(txt, '^[^\t]+\t([^\t]+)', 1) AS version, 'amd64' AS architecture FROM GENERATED WHERE contains(txt, 'installed')""")
+_generated("rpm_lines", P.rpm, _PACKAGE.format("\t") + " || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '\tnoarch' END", r"""SELECT regexp_extract(txt, '^([^\t]+)\t', 1) AS name, regexp_extract(txt, '^[^\t]+\t([^\t]+)', 1) AS version, nullif(regexp_extract(txt, '\t(noarch)$', 1), '') AS architecture FROM GENERATED""")
+_generated("pacman_lines", P.pacman, _PACKAGE.format(" ") + " || '\nsolo'", r"""SELECT regexp_extract(txt, '^(\S+) ', 1) AS name, regexp_extract(txt, '^\S+ (\S+)', 1) AS version FROM GENERATED""")
+_generated("apk_lines", P.apk, _PACKAGE.format("-") + " || '\nnodash'", r"""SELECT regexp_extract(txt, '^(.+)-[^-\n]*-r[0-9]', 1) AS name, regexp_extract(txt, '^.+-([^-\n]*-r[0-9])', 1) AS version FROM GENERATED""")
+_generated("mount_lines", P.mounts, "'/dev/sd' || s_suppkey || '  /mnt/' || s_nationkey || ' ext4 ' || CASE WHEN s_suppkey % 2 = 0 THEN 'rw' ELSE 'ro,noatime' END || ' 0 0\nshort line'", r"""SELECT regexp_extract(txt, '^(\S+)', 1) AS device, regexp_extract(txt, '^\S+\s+(\S+)', 1) AS mountpoint, 'ext4' AS fstype, regexp_extract(txt, 'ext4 (\S+)', 1) AS options FROM GENERATED""")
+_generated("unit_lines", P.units, "'unit' || s_suppkey || '.service ' || CASE WHEN s_suppkey % 2 = 0 THEN 'enabled enabled' ELSE 'disabled' END || '\nlonely'", r"""SELECT regexp_extract(txt, '^(\S+)', 1) AS unit, regexp_extract(txt, '^\S+ (\S+)', 1) AS state FROM GENERATED""")
+_generated("resolv_lines", P.resolv, "'nameserver 10.0.' || s_nationkey || '.' || (s_suppkey % 250) || ' # note\n# nameserver 1.1.1.1\nsearch a' || s_suppkey || '.test b.test'", r"""SELECT 'nameserver' AS kind, regexp_extract(txt, '^nameserver (\S+)', 1) AS value FROM GENERATED UNION ALL SELECT 'search', regexp_extract(txt, 'search (\S+)', 1) FROM GENERATED UNION ALL SELECT 'search', 'b.test' FROM GENERATED""")
+_generated("pvs_json", P.pvs, """'{"report":[{"pv":[{"pv_name":"/dev/sd' || s_suppkey || '","vg_name":"g' || s_nationkey || '","pv_size":"' || (s_suppkey * 4096) || '"}]}]}'""", r"""SELECT txt->>'$.report[0].pv[0].pv_name' AS name, txt->>'$.report[0].pv[0].vg_name' AS vg, '' AS uuid, (txt->>'$.report[0].pv[0].pv_size')::BIGINT AS size FROM GENERATED""")
+
+
 def _sector(kind: int | None, size: int = 512) -> bytes:
     out = bytearray(512)
     if kind is not None:
