@@ -108,6 +108,7 @@ def catalog_upsert(spark, sf_dir):
 
 @query("catalog_delete", "SELECT p_partkey AS hash FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def catalog_delete(spark, sf_dir):
+    """Fixture: the chunks of lines of more than 49 pieces go, else none would stay."""
     gone = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("hash"))
     return catalog.delete(chunks(spark, sf_dir), gone, ["hash"]).select("hash")
 
