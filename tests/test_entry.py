@@ -21,3 +21,24 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'prune_plan' in q and not any(x.startswith('op') and x[2].isdigit() for x in q), q"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from cairn.shared import LOCAL, shared_dir
+
+    def session(master, conf=None, context=None):
+        get = lambda d: lambda key, default=None: (d or {}).get(key, default)
+        held = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=get(context)))
+        return SimpleNamespace(conf=SimpleNamespace(get=get(conf)), sparkContext=held)
+
+    key = "spark.checkpoint.dir"
+    assert shared_dir(session("local[4]")) == LOCAL
+    assert shared_dir(session("spark://h:1", {key: "hdfs://a/b/"})) == "hdfs://a/b"
+    assert shared_dir(session("yarn", None, {key: "s3a://c"})) == "s3a://c"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:1"):
+        with pytest.raises(RuntimeError, match="shared"):
+            shared_dir(session(master))
