@@ -40,5 +40,5 @@ def test_a_cluster_must_name_its_shared_folder():
     assert shared_dir(session("spark://h:1", {key: "hdfs://a/b/"})) == "hdfs://a/b"
     assert shared_dir(session("yarn", None, {key: "s3a://c"})) == "s3a://c"
     for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:1"):
-        with pytest.raises(RuntimeError, match="shared"):
+        with pytest.raises(RuntimeError, match="executors share"):
             shared_dir(session(master))
