@@ -238,7 +238,7 @@ def surrogate_ids(spark, sf_dir):
     return catalog.with_ids(there, rows, "id", ["down", "c_custkey"]).select("c_custkey", "id")
 
 
-@query("sealed_texts", "SELECT s_suppkey, s_name AS text, 'legacy' AS framing, true AS wrong_key_refused FROM supplier")
+@query("sealed_texts", "SELECT s_suppkey, s_name AS text, true AS wrong_key_refused FROM supplier")
 def sealed_texts(spark, sf_dir):
     """Texts sealed with a nonce of their own, opened with the right key and a wrong one."""
     keys = crypto.Keys.new(spark)
@@ -247,8 +247,7 @@ def sealed_texts(spark, sf_dir):
     rows.write.parquet(at)  # nonces are random: sealed once
     sealed = spark.read.schema(rows.schema).parquet(at)
     refused = crypto.open_text(F.col("frame"), keys.metadata).isNull()
-    # A random nonce may begin with the streaming mark by chance.
-    return sealed.select("s_suppkey", crypto.open_text(F.col("frame"), keys.data).alias("text"), F.lit("legacy").alias("framing"), refused.alias("wrong_key_refused"))
+    return sealed.select("s_suppkey", crypto.open_text(F.col("frame"), keys.data).alias("text"), refused.alias("wrong_key_refused"))
 
 
 @query("root_disks", r"""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN '/dev/sd' || chr(97 + c_nationkey % 26) WHEN 1 THEN '/dev/nvme' || c_nationkey || 'n1' WHEN 2 THEN '/dev/vdb' END AS disk FROM customer""")
